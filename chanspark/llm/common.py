@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that the numpy kernels hold at once; their temporaries take some ten times as much.
-SLICE_BYTES = 4 << 20
+#: Text bytes that the numpy kernels hold at once; their temporaries take up to a hundred times as much.
+SLICE_BYTES = 1 << 20
 
 #: The white space that separates words.
 WHITE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

@@ -60,7 +60,7 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     some = np.flatnonzero(count)
     if some.size:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int64)
+        ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import simhash
+from chanspark.llm import ppm, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_language_id, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import ppm, simhash
+from chanspark.llm import pieces, ppm, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(documents(spark, sf_dir))
 
@@ -24,7 +29,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language_id, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

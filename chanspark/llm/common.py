@@ -120,3 +120,24 @@ def part_of(key: Column, cuts: list[int]) -> Column:
     below = lambda values: F.size(F.filter(values, lambda v: v <= key))
     coarse = below(heads)
     return F.when(key.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * step + below(F.element_at(table, F.greatest(coarse, F.lit(1)))))
+
+
+def storage(uri: str):
+    """The file system of a URI, as pyarrow opens it, and the path in it; a bare path is a local one."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder in the shared one, for one run of an operator."""
+    from uuid import uuid4
+
+    uri = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    fs, path = storage(uri)
+    fs.create_dir(path, recursive=True)
+    return uri

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import chunks, pieces, ppm, simhash
+from chanspark.llm import chunks, pieces, ppm, simhash, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +28,16 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edits(documents(spark, sf_dir))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.summary(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op6_token_files, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import chunks, pieces, ppm, simhash, tokenfiles
+from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,13 +32,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.summary(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.summary(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op6_token_files, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": linededup.ORACLE_SUMMARY, "op10_sharding": sharding.ORACLE_SUMMARY}

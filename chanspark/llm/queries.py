@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, tokenfiles
+from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, templates, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edits(documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.summary(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,8 +49,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op5_decontamination, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.ORACLE_SUMMARY, "op10_sharding": sharding.ORACLE_SUMMARY}
+    return {"op5_decontamination": templates.ORACLE_MATCHES, "op7_line_dedup": linededup.ORACLE_SUMMARY, "op10_sharding": sharding.ORACLE_SUMMARY}

@@ -141,3 +141,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     fs, path = storage(uri)
     fs.create_dir(path, recursive=True)
     return uri
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, n of each at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 4, base, np.uint64))])
+    return _powers
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[s:e] for each run: a polynomial from prefix sums, its bits mixed with the length."""
+    power, inverse = _powers_to(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

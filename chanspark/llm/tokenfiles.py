@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -23,14 +24,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm.common import cut, fresh_folder, slices, storage
+from chanspark.llm.common import buffer, cut, fresh_folder, run_hashes, slices, storage
 from chanspark.llm.ordered import by_doc_id
 from chanspark.llm.pieces import ragged
 
 FRAME_BYTES = 1 << 20
 LEVEL = 1
 END_ID = 0
-REMEMBERED = 250_000
+#: Words that a worker remembers, at some 150 bytes each; when full it forgets them.
+REMEMBERED = 600_000
 
 #: Magic numbers of skippable frames (the list of documents, the seek table) and of the seek table's footer.
 LIST_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -39,7 +41,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class ByteLevel:
-    """A byte-level tokenizer of the tokenizers library that remembers the words it has met.
+    """A byte-level tokenizer of the tokenizers library that remembers the words it has met, by their hashes.
 
     The library splits a text by a pattern and merges within each part alone, so a text of words and single white
     space can be cut before each space and around each line break without a change to its ids. Other texts, and
@@ -55,64 +57,84 @@ class ByteLevel:
         before = str(self.own.pre_tokenizer)
         self.splits = self.own.normalizer is None and before.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in before
         self.parts = regex.compile(SPLIT)
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}  # of a word's hash among the words met
+        self.flat, self.at = array("I"), array("q", [0])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lookup(self, words: list[str]) -> list[list[int]]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = []
-        for word in words:
-            if word not in known:
-                if word in older:
-                    known[word] = older[word]
-                else:
-                    fresh.append(word)
-        split = list(map(self.parts.findall, fresh))
-        parts = []
-        for part in set(chain.from_iterable(split)):
-            if part not in known:
-                if part in older:
-                    known[part] = older[part]
-                else:
-                    parts.append(part)
-        known.update(zip(parts, self._whole(parts), strict=True))
-        for word, own in zip(fresh, split, strict=True):
-            if len(own) > 1:
-                known[word] = list(chain.from_iterable(map(known.__getitem__, own)))
-        return list(map(known.__getitem__, words))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts after one another, and where each begins (and the last ends)."""
-        each: list[str] = []
-        counts, odd = [], {}
-        for i, text in enumerate(texts):
-            words, spaces = text.split(), text.count(" ") + text.count("\n")
-            if self.splits and len(words) == spaces + 1 and sum(map(len, words)) + spaces == len(text):  # single spaces and line breaks only
-                found = text.replace(" ", "\x1e ").replace("\n", "\x1e\n\x1e").split("\x1e")
-            else:
-                odd[i], found = text, []
-            each.extend(found)
-            counts.append(len(found))
-        if each:
-            code, distinct = pd.factorize(np.array(each, dtype=object))
-            own = self._lookup(list(distinct))
-            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))])
-            flat = np.fromiter(chain.from_iterable(own), np.uint32, at[-1])
-            ids, upto = ragged(flat, at, code)
-            offsets = upto[np.concatenate([[0], np.cumsum(counts)])]
-        else:
-            ids, offsets = np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if odd:
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        split = [[w] if w[w[0] == " " :].isalpha() else self.parts.findall(w) for w in words]
+        fresh = list(set(chain.from_iterable(split)))
+        ids = dict(zip(fresh, self._whole(fresh), strict=True))
+        for h, own in zip(hashes, split, strict=True):
+            self.place[h] = len(self.at) - 1
+            for part in own:
+                self.flat.extend(ids[part])
+            self.at.append(len(self.flat))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after one another, and where each begins (and the last ends); null is empty."""
+        data, offsets = buffer(column)
+        gap = (data == 0x20) | (data == 0x0A)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True  # where a text begins or ends
+        odd = ODD[data]
+        odd[1:] |= gap[1:] & gap[:-1] & ~edge[1:-1] if len(data) else False
+        odd |= gap & (edge[:-1] | edge[1:])
+        whole = np.zeros(len(column), bool)
+        whole[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        if not self.splits:
+            whole[:] = True
+        # A letter ends its part where a sign follows, which is not so of all signs before letters.
+        letter = LETTERS[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7) & (data[1:] >= 0x80)
+        sign = np.zeros(len(data), bool)
+        sign[1:] = SIGNS[data[1:]] & letter[:-1] & ~edge[1:-1]
+        first = ~gap
+        first[1:] &= gap[:-1] | edge[1:-1] | sign[1:]
+        last = ~gap
+        last[:-1] &= gap[1:] | edge[1:-1] | sign[1:]
+        line = data == 0x0A
+        starts = np.flatnonzero(first | line)
+        ends = np.flatnonzero(last | line) + 1
+        counts = np.searchsorted(starts, offsets)
+        used = np.repeat(~whole, np.diff(counts))
+        starts, ends = starts[used], ends[used]
+        counts = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(counts)))])
+        led = starts - ((starts > 0) & (data[starts - 1] == 0x20) & ~edge[starts])  # with the space before the word
+        code, distinct = pd.factorize(run_hashes(data, led, ends))
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        found = list(map(self.place.get, distinct.tolist()))
+        fresh = [i for i, x in enumerate(found) if x is None]
+        if fresh:
+            where = np.empty(len(distinct), np.int64)
+            where[code[::-1]] = np.arange(len(code))[::-1]
+            raw, at = data.tobytes(), where[fresh]
+            self._learn(distinct[fresh].tolist(), [raw[s:e].decode() for s, e in zip(led[at].tolist(), ends[at].tolist(), strict=True)])
+            found = list(map(self.place.get, distinct.tolist()))
+        ids, upto = ragged(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.at, np.int64), np.array(found, np.int64)[code])
+        offsets = upto[counts]
+        if whole.any():
             runs = [ids[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
-            for i, found in zip(odd, self._whole(list(odd.values())), strict=True):
-                runs[i] = np.array(found, np.uint32)
+            odd_texts = np.flatnonzero(whole)
+            for i, own in zip(odd_texts, self._whole([column[int(i)].as_py() or "" for i in odd_texts]), strict=True):
+                runs[i] = np.array(own, np.uint32)
             ids, offsets = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-        return ids.astype(np.uint32), offsets
+        return ids, offsets
+
+
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b",.;:!?")] = True
+#: Bytes that make a text odd: white space other than space and line break, and first bytes of characters that may be such.
+ODD = np.zeros(256, bool)
+ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 _loaded: dict[str, ByteLevel] = {}
@@ -230,7 +252,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, parts: int | None =
             writer = Writer(file)
             for part in slices(batches, 1, 2 << 20):
                 shard = part.column(2)[0].as_py()
-                ids, upto = own.encode([x or "" for x in part.column(1).to_pylist()])
+                ids, upto = own.encode(part.column(1))
                 for doc_id, a, b in zip(part.column(0).to_pylist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
                     writer.add(doc_id, np.append(ids[a:b], np.uint32(end_id)))
                     ids_written += b - a + 1

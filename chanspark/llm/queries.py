@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, templates, tokenfiles
+from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, templates, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(documents(spark, sf_dir))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edits(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_document_fingerprints, op5_decontamination, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_warc, op4_document_fingerprints, op5_decontamination, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

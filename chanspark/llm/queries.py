@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, templates, tokenfiles, warc
+from chanspark.llm import chunks, linededup, pieces, ppm, sharding, simhash, substrings, templates, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,12 +48,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir), with_text=False)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.summary(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_warc, op4_document_fingerprints, op5_decontamination, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_warc, op4_document_fingerprints, op5_decontamination, op6_token_files, op7_line_dedup, op8_simhash_near_dedup, op9_substring_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

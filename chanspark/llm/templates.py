@@ -23,43 +23,49 @@ NUMBER, NAME, UNIT, WITHIN = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = "mm|cm|km|m|mg|kg|g|ml|l|s|ms|min|h|hours|minutes|seconds|days|miles|feet|inches|pounds|dollars|euros|percent"
 
 
-def _valued(text: Column) -> Column:
-    """Lower-case words by single spaces, in which a placeholder is followed by the value it stands for."""
-    numbers = text
+def _valued(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., v): lower-case words by single spaces, in which a placeholder is followed by the value it stands for.
+
+    One projection a step, each used once or by name, so that no step is worked out twice.
+    """
+    numbers = F.col("text")
     for _ in range(2):
         numbers = F.regexp_replace(numbers, "([0-9])[.,:/]([0-9])", f"$1{WITHIN}$2")
     numbers = F.regexp_replace(numbers, f"([0-9][0-9{WITHIN}]*)", f" {NUMBER}$1 ")
     numbers = F.regexp_replace(numbers, f"({NUMBER}[0-9{WITHIN}]+ +)({UNITS})\\b", f"$1{UNIT}$2 ")
-    text = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
-    names = F.regexp_replace(text, "([\\p{Ll},;] )(\\p{Lu}\\p{Ll})", f"$1{NAME}$2")
-    names = F.when(F.contains(names, F.lit(NAME)), F.regexp_replace(names, f"({NAME}\\p{{Lu}}\\p{{Ll}}+ )(\\p{{Lu}}\\p{{Ll}})", f"$1{NAME}$2")).otherwise(names)
-    return F.trim(F.regexp_replace(F.lower(names), f"[^\\p{{L}}\\p{{N}}{NUMBER}-{WITHIN}]+", " "))
+    step = texts.select(*keys, F.when(F.col("text").rlike("[0-9]"), numbers).otherwise(F.col("text")).alias("v"))
+    step = step.select(*keys, F.regexp_replace("v", "([\\p{Ll},;] )(\\p{Lu}\\p{Ll})", f"$1{NAME}$2").alias("v"))
+    more = F.regexp_replace("v", f"({NAME}\\p{{Lu}}\\p{{Ll}}+ )(\\p{{Lu}}\\p{{Ll}})", f"$1{NAME}$2")
+    step = step.select(*keys, F.when(F.contains("v", F.lit(NAME)), more).otherwise(F.col("v")).alias("v"))
+    return step.select(*keys, F.trim(F.regexp_replace(F.lower("v"), f"[^\\p{{L}}\\p{{N}}{NUMBER}-{WITHIN}]+", " ")).alias("v"))
 
 
-def _windows(texts: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, size, at, h, slots): each window's number, the hash of its template, and the values of its placeholders or null."""
-    slot = f"[{NUMBER}-{UNIT}]"
-    marked = texts.select(key, _valued(F.col("text")).alias("v")).where(F.length("v") > 0)
-    valued = marked.select(key, F.split("v", " ").alias("v"), F.col("v").rlike(slot).alias("has"), F.split(F.when(F.col("v").rlike(slot), F.regexp_replace("v", f"({slot})[^ ]+", "$1")).otherwise(F.col("v")), " ").alias("t"))
+SLOT = f"[{NUMBER}-{UNIT}]"
 
-    def one(size: int):
-        def window(i: Column) -> Column:
-            own = F.filter(F.slice("v", i, size), lambda x: x.rlike("^" + slot))
-            return F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.lit(size), F.slice("t", i, size)).alias("h"), F.when(F.col("has") & (F.size(own) > 0), own).alias("slots"))
 
-        return F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - size + 1, F.lit(1))), window)).otherwise(F.array())
+def _windows(texts: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """(key, size, at, h, values): each window's first word, the hash of its template, and its text's words if any is a placeholder."""
+    marked = _valued(texts, key).select(key, "v", F.col("v").rlike(SLOT).alias("has"))
+    plain = F.when(F.col("has"), F.regexp_replace("v", f"({SLOT})[^ ]+", "$1")).otherwise(F.col("v"))
+    size = F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0])
+    words = marked.select(key, F.when(F.col("has"), F.split("v", " ")).alias("values"), F.split(plain, " ").alias("t"), size.alias("size"))
+    places = F.sequence(F.lit(1), F.greatest(F.size("t") - F.col("size") + 1, F.lit(1)))
+    hashes = F.when((F.size("t") >= F.col("size")) & (F.element_at("t", 1) != ""), F.transform(places, lambda i: F.xxhash64(F.col("size"), F.slice("t", i, F.col("size")))))
+    return words.select(key, "size", "values", F.posexplode(hashes).alias("at", "h")).withColumn("at", F.col("at") + 1)
+
 
-    each = [one(s) for s in sizes]
-    return valued.select(key, F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("w")).select(key, "w.size", "w.at", "w.h", "w.slots")
+def _slots(values: str, at: str, size: str) -> Column:
+    """The values of a window's placeholders, in order; null without any."""
+    own = F.filter(F.slice(values, F.col(at), F.col(size)), lambda x: x.rlike("^" + SLOT))
+    return F.when(F.size(own) > 0, own)
 
 
 def _items(benchmark: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
     """Windows of the items, and how many an item has; an item with fewer words than a window is one window of its own size."""
     own = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    words = F.size(F.split(_valued(F.col("text")), " "))
-    short = own.select(words.alias("n"), F.length(_valued(F.col("text"))).alias("c")).where((F.col("n") < window) & (F.col("c") > 0)).distinct().collect()  # fewer than `window` rows
-    sizes = sorted({r["n"] for r in short}) + [window]
-    sized = own.withColumn("_words", words)
+    sized = _valued(own.withColumn("own", F.col("text")), "item_id", "own").select("item_id", F.col("own").alias("text"), F.size(F.split("v", " ")).alias("_words"), F.length("v").alias("_length"))
+    short = sized.where((F.col("_words") < window) & (F.col("_length") > 0)).select("_words").distinct().collect()  # fewer than `window` rows
+    sizes = sorted({r["_words"] for r in short}) + [window]
     parts = [_windows(sized.where((F.col("_words") == s) if s < window else (F.col("_words") >= window)), "item_id", [s]) for s in sizes]
     found = parts[0]
     for p in parts[1:]:
@@ -75,13 +81,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     match nothing; rows that repeat a doc_id or an item_id are taken together.
     """
     windows, sizes = _items(benchmark, window)
+    windows = windows.withColumn("slots", _slots("values", "at", "size"))
     literal = F.col("size") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.lit(literals), F.col("size"))
     items = cut(windows.where(literal).select("item_id", "size", F.col("at").alias("item_at"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots")))
     needed = items.groupBy("item_id").agg(F.least(F.countDistinct("item_at"), F.lit(least)).alias("needed")).withColumnRenamed("item_id", "_item")
-    side = items.drop("size")
+    side = items.drop("size").withColumnRenamed("item_h", "h")
     if items.count() <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
-    met = _windows(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", sizes).join(side, F.col("h") == F.col("item_h"))
+    met = _windows(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", sizes).join(side, "h").withColumn("slots", _slots("values", "at", "size"))
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     # Overlapping windows repeat their pairs; sets keep what a diagonal holds within the size of its item.
     found = met.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.coalesce(pairs, F.array().cast("array<struct<i:string,d:string>>")).alias("pairs"))

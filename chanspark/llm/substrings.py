@@ -19,6 +19,7 @@ a growing corpus as reference, all documents against all shards would be quadrat
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from hashlib import md5, sha256
 
@@ -243,9 +244,14 @@ def _streamed(passages: DataFrame, window: int, parts: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of tables that nothing refers to any more; it does when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of tables that nothing refers to any more, which it does when the driver collects garbage.
+
+    Twice, as the JVM's objects are let go just after Python's.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -139,13 +139,15 @@ def write(pages: DataFrame, folder: str, parts: int | None = None, least_bytes:
     payload = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     large = F.octet_length("html") >= least_bytes
+    own = own.withColumn("key", sort_key(F.col("url")))
     # Narrow rows, combined on the map side, say which digests repeat and what they refer to.
-    repeated = own.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "last")
-    typed = own.join(repeated, F.col("digest") == F.col("_digest"), "left")
-    revisit = F.coalesce(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.lit(False)) & large
-    refers = F.when(revisit, F.col("last"))
-    ready = typed.select(sort_key(F.col("url")).alias("key"), "page_id", "url", "html", "digest", refers.alias("refers_to"))
-    ordered = ready.repartitionByRange(parts or partitions(spark), "key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
+    narrow = own.select("key", "page_id", "digest", large.alias("large"))
+    repeated = narrow.where("large").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "last")
+    later = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    revisits = narrow.where("large").join(repeated, F.col("digest") == F.col("_digest")).where(later).select("key", "page_id", "digest", "last").distinct()
+    # They go through the exchange of the pages, each just before the pages that it is about, so payloads move once.
+    rows = own.select("key", "page_id", "digest", "url", "html", F.lit(None).cast("long").alias("last")).unionByName(revisits, allowMissingColumns=True)
+    ordered = rows.repartitionByRange(parts or partitions(spark), "key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest", rows.html.asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = storage(folder)
@@ -153,8 +155,13 @@ def write(pages: DataFrame, folder: str, parts: int | None = None, least_bytes:
         file, index = f"pages-{part:06d}-{attempt}.warc.gz", f"pages-{part:06d}-{attempt}.idx"
         lines, at = [], 0
         with fs.open_output_stream(f"{path}/{file}", compression=None) as out:
-            for batch in slices(batches, 3):
-                for key, page_id, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            about, last = None, None
+            for batch in slices(batches, 4):
+                for key, page_id, digest, url, html, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if html is None:  # a revisit to come
+                        about, last = (key, page_id, digest), refers
+                        continue
+                    refers_to = last if about == (key, page_id, digest) else None
                     packed = gzip.compress(_record("response" if refers_to is None else "revisit", page_id, url, html.encode(), b32encode(bytes.fromhex(digest)).decode(), refers_to), LEVEL, mtime=0)
                     out.write(packed)
                     lines.append((key, page_id, file, at, len(packed)))

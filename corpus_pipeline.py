@@ -1,12 +1,56 @@
-"""A corpus pipeline over documents; its stages follow as their operators are added."""
+"""A corpus pipeline over documents: each stage calls one operator of chanspark.llm on all that the stage before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from chanspark.llm import linededup, pieces, ppm, simhash, templates
+from chanspark.llm.common import fresh_folder
+
+#: Words of a shingle in the stage of near-duplicates; its links are those of 4 differing bits of 64 or fewer.
+SHINGLE_WORDS = 5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: those without a letter, and those like none of the languages, go."""
+    return ppm.keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate of their source; n_chars follows the text."""
+    return linededup.without_boilerplate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    return simhash.keep_one(docs, shingle=SHINGLE_WORDS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the benchmark is found, with its own or other numbers, names and units."""
+    return templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with piece_ids, their number n_pieces, and whether decoding them gives the text again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return both.select(*docs.columns, "piece_ids", F.size("piece_ids").alias("n_pieces"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("tokens", tokens)]
+
+#: Language identification and tokens have no SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another from documents; what each keeps is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = fresh_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

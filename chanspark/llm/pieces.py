@@ -33,8 +33,8 @@ from chanspark.llm.common import buffer, slices
 
 MARK = "▁"
 #: Words whose pieces a worker gathers before it forgets those that it has not met since it last did.
-REMEMBERED = 250_000
-RUN_BYTES = 4 << 20
+REMEMBERED = 100_000
+RUN_BYTES = 2 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -131,7 +131,7 @@ class Pieces:
 
     def _may_end(self, piece: str, before: str) -> bool:
         """Whether the encoding that ends with piece before (none: empty) can go on with this piece of the vocabulary."""
-        if len(self.pairs) > 4 * REMEMBERED:
+        if len(self.pairs) > 2 * REMEMBERED:
             self.pairs.clear()
         found = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return found
@@ -259,24 +259,30 @@ def _pieces(model: bytes) -> Pieces:
     return _loaded[model]
 
 
-def encode(docs: DataFrame, model_file: str) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, check: bool = False) -> DataFrame:
     """docs with column piece_ids, array<int>; a null or empty text has none. A column of that name is replaced.
 
-    model_file is read on the driver and sent to the executors (a vocabulary, at most some MB); any row count, order
-    and further columns are kept as they are.
+    With check, the ids are decoded at once, in the same worker, and column round_trip tells whether that gives the
+    bytes of the text (of null: none). model_file is read on the driver and sent to the executors (a vocabulary, at
+    most some MB); any row count, order and further columns are kept as they are.
     """
+    added = ["piece_ids", *["round_trip"] * check]
     with open(model_file, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "piece_ids"])
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["piece_ids array<int>"])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["piece_ids array<int>", *["round_trip boolean"] * check])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pieces(model.value)
         for part in slices(batches, at, RUN_BYTES):
             ids, upto = own.encode([x or "" for x in part.column(at).to_pylist()])
-            found = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "piece_ids"])
+            found = [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))]
+            if check:
+                (decoded, ends), (source, starts) = own.decode(ids, upto), buffer(part.column(at))
+                left, right = decoded.tobytes(), source.tobytes()
+                found.append(pa.array([left[ends[i] : ends[i + 1]] == right[starts[i] : starts[i + 1]] for i in range(part.num_rows)]))
+            yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 

@@ -14,6 +14,8 @@ from chanspark.llm.common import cut
 
 RATIO = 0.05
 LEAST_PAGES = 5
+#: Boilerplate lines (of all hosts) that are broadcast, some 60 bytes each; more are joined by exchange.
+BROADCAST_LINES = 250_000
 
 
 def _lines(text: Column) -> Column:
@@ -39,6 +41,21 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     return joined.where(F.col("pages") > F.lit(ratio) * F.col("of_pages")).select("source", "key", "pages", "of_pages")
 
 
+def _with_gone(docs: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """docs with _gone, the keys of the lines to drop from a page or its host.
+
+    A few lines go to all pages by host. Of many, only keys and ids move until it is known which go from which page,
+    and the join that finds it may be split at hot lines.
+    """
+    if few:
+        by_host = found.groupBy(F.col("source").alias("_source")).agg(F.collect_set("key").alias("_gone"), F.first(F.lit(0)).alias("_id"))
+        return docs.join(F.broadcast(by_host), F.col("source").eqNullSafe(F.col("_source")), "left")
+    keyed = docs.select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("_key"))
+    hit = keyed.join(found, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_key") == F.col("key")))
+    gone = hit.groupBy("_source", "_id").agg(F.collect_set("_key").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+
+
 def drop_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Every row of docs with its text less the boilerplate lines, and columns n_lines and n_dropped (replaced if there).
 
@@ -48,12 +65,8 @@ def drop_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_P
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     found = cut(boilerplate(docs, ratio, least_pages).select("source", "key"))
-    # Which lines go from which page: only keys and ids move, and the join may be split at hot lines.
     text = F.col("text")
-    keyed = docs.select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform(_lines(text), _key))).alias("_key"))
-    hit = keyed.join(found, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_key") == F.col("key")))
-    gone = hit.groupBy("_source", "_id").agg(F.collect_set("_key").alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    both = _with_gone(docs, found, found.count() <= BROADCAST_LINES)
     lines = _lines(text)
     kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _key(x))))
     whole = F.exists(kept, lambda x: F.trim(x) != "")

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.operators import ranking
-
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -30,24 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
-FISHER = """
-WITH long AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS channel, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-c AS (SELECT channel, label, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY ALL),
-t AS (SELECT channel, sum(n * m) / sum(n) AS mean FROM c GROUP BY ALL),
-f AS (SELECT channel, sum(n * (m - mean) * (m - mean)) / (sum(n * v) + 1e-12) AS score FROM c JOIN t USING (channel) GROUP BY ALL)
-"""
-
-
-@register(FISHER + "SELECT CAST(row_number() OVER (ORDER BY score DESC, channel) AS INTEGER) AS rank, CAST(channel AS INTEGER) AS channel, round(score, 8) AS score FROM f ORDER BY score DESC, channel LIMIT 10")
-def fisher_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    long = ranking.channels_long(table(spark, sf_dir, "embeddings"), "embedding", "label")
-    return ranking.top_k(ranking.fisher_scores(long, "label", "channel", "x"), 10).select("rank", "channel", F.round("score", 8).alias("score"))
+def _load() -> None:
+    from chanspark.plans import evaluation, relational, sensor  # noqa: F401  their queries register themselves

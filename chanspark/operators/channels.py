@@ -6,6 +6,10 @@ number of packets. What is broadcast or collected has one row a channel, or one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +51,28 @@ def apply_zscore(long: DataFrame, scaler: DataFrame, eps: float = 0.0) -> DataFr
 def correlations(wide: DataFrame, array: str, channels: int) -> DataFrame:
     """(a, b, r): the absolute Pearson correlation of every two channels, a < b; undefined ones are 0.
 
-    One pass over the vectors with partial sums of products; packets are neither joined nor shuffled.
+    One pass: each task adds up the products of its vectors as matrices, in batches, and gives one row a pair of
+    channels, so what is exchanged grows with the tasks and not with the packets. Vectors of another length or with a
+    value that isn't finite are left out.
     """
-    pairs = [(a, b) for a in range(channels) for b in range(a + 1, channels)]
-    found = None
-    # Runs of pairs keep the generated code of one aggregate small enough to be compiled.
-    for at in range(0, len(pairs), 512):
-        each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * channels + b).alias("k")) for a, b in pairs[at : at + 512]])
-        exploded = wide.select(array, F.inline(each))
-        part = exploded.groupBy("a", "b").agg(F.corr(F.col(array)[F.col("a")].cast("double"), F.col(array)[F.col("b")].cast("double")).alias("r"))
-        found = part if found is None else found.union(part)
-    return found.select("a", "b", F.coalesce(F.abs(F.nanvl("r", F.lit(0.0))), F.lit(0.0)).alias("r"))
+    names = ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products = 0, np.zeros(channels), np.zeros((channels, channels))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, channels)
+            x = x[np.isfinite(x).all(axis=1)]
+            n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        a, b = np.triu_indices(channels, 1)
+        square = np.diag(products)
+        columns = [a, b, np.full(len(a), n), sums[a], sums[b], square[a], square[b], products[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    own = wide.where((F.size(array) == channels) & F.forall(array, lambda v: v.isNotNull())).select(F.col(array).cast("array<double>"))
+    total = own.mapInArrow(run, "a long, b long, n long, sa double, sb double, saa double, sbb double, sab double").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    spread = (F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")) * (F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n"))
+    r = F.abs(F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(spread)
+    return total.where("n > 0").select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.when(spread > 0, r).otherwise(0.0).alias("r"))
 
 
 def prune(pairs: DataFrame, candidates: list[int], threshold: float) -> list[int]:

@@ -96,8 +96,8 @@ def by_policy(candidates: DataFrame, main: str, within: float, then: list[Column
     The winner is the first in the order `then` of those whose main metric is within a distance of the best. One row a
     candidate (a model, a setting): few by nature, and aggregated before.
     """
-    best = candidates.agg(F.max(main).alias("_best"))
-    near = candidates.join(F.broadcast(best), F.col(main) >= F.col("_best") - within).orderBy(*then, tie).limit(1).select(F.col(tie).alias("_won"))
+    best = candidates.agg(F.max(main)).scalar()
+    near = candidates.where(F.col(main) >= best - within).orderBy(*then, tie).limit(1).select(F.col(tie).alias("_won"))
     marked = candidates.join(F.broadcast(near), F.col(tie) == F.col("_won"), "left").withColumn("selected_by_policy", F.col("_won").isNotNull()).drop("_won")
     return marked.withColumn("position", F.row_number().over(Window.orderBy(F.desc("selected_by_policy"), *rest, tie)))
 

@@ -207,7 +207,7 @@ def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as windows of a stream with class probabilities that follow from their value, and an expected state."""
     v = F.col("value") / 500
-    scores = F.array(1 - v, F.lit(0.4), v * v)
+    scores = F.array(F.greatest(1 - v, F.lit(0.0)), F.lit(0.4), v * v)
     df = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", scores.alias("p"))
     expected = F.when(F.col("event_type") == "purchase", "movement").when(F.col("event_type") == "view", "empty").otherwise("static_presence")
     return df.select("user_id", "ts", "event_id", expected.alias("expected"), *[F.col("p")[k].alias(c) for k, c in enumerate(machine.PROBABILITIES)])

@@ -38,8 +38,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:
-    """The unsigned fingerprint of every text."""
+def shingle_hashes(column: pa.Array, shingle: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The unsigned hashes of all shingles, text after text, and where each text's begin (and the last end)."""
     data, offsets = buffer(column)
     starts, ends, firsts = word_bounds(data, offsets)
     solid = ~WHITE[data]
@@ -55,8 +55,13 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     last = np.minimum(first + shingle - 1, firsts[text + 1] - 1)
     bounds = zip(place[starts[first]].tolist(), (place[ends[last] - 1] + 1).tolist(), strict=True)
     raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[a:b], HASH_SEED) for a, b in bounds), np.uint64, len(first))
-    out = np.zeros(len(words), np.uint64)
+    return np.fromiter((digest(raw[a:b], HASH_SEED) for a, b in bounds), np.uint64, len(first)), upto
+
+
+def majority(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The unsigned fingerprint of every text from its shingles' hashes."""
+    count = np.diff(upto)
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     if some.size:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -65,6 +70,11 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     return out
 
 
+def fingerprints(column: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """The unsigned fingerprint of every text."""
+    return majority(*shingle_hashes(column, shingle))
+
+
 def simhash(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. Null texts and texts without words have 0; repeated rows stay."""
 

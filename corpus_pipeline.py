@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chanspark.llm import linededup, pieces, ppm, simhash, templates
+from chanspark.llm import linededup, pieces, ppm, similar, templates
 from chanspark.llm.common import fresh_folder
 
-#: Words of a shingle in the stage of near-duplicates; its links are those of 4 differing bits of 64 or fewer.
-SHINGLE_WORDS = 5
+#: Near copies: words of a shingle, and the least similarity of the sets of shingles.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
-    return simhash.keep_one(docs, shingle=SHINGLE_WORDS)
+    return similar.keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, names and units become typed placeholders, the rest lower-case words. The windows of the templates of documents
-and benchmark items are hash-joined. What matches on one diagonal (the same shift between document and item) must
-fill the item's slots consistently: each value in the item stands for one value in the document, as it does where a
-question was copied or given other parameters. Only hashes of windows are compared; texts are not exchanged at all.
+and benchmark items are hash-joined. Windows with the same values, or without any, match
+as they are. Where others match on one diagonal (the same shift between document and item), it must fill the item's
+slots consistently: each value in the item stands for one value in the document, as it does where a question was given
+other parameters. Only hashes of windows are compared; texts are not exchanged at all.
 """
 
 from __future__ import annotations
@@ -43,22 +44,22 @@ def _valued(texts: DataFrame, *keys: str) -> DataFrame:
 SLOT = f"[{NUMBER}-{UNIT}]"
 
 
-def _windows(texts: DataFrame, key: str, sizes: list[int], literals: int) -> DataFrame:
-    """(key, size, at, h, values): each window's first word, its hash, and its text's words if any is a placeholder.
+def _windows(texts: DataFrame, keys: tuple[str, ...], sizes: list[int], literals: int) -> DataFrame:
+    """(keys..., size, at, h, values): each window's first word, its hash, and its text's words if any is a placeholder.
 
     The hash is that of the template; where fewer words than literals (all of a shorter window) aren't placeholders, it
     is that of the words with their values, so that only equal values meet.
     """
-    marked = _valued(texts, key).select(key, "v", F.col("v").rlike(SLOT).alias("has"))
+    marked = _valued(texts, *keys).select(*keys, "v", F.col("v").rlike(SLOT).alias("has"))
     plain = F.when(F.col("has"), F.regexp_replace("v", f"({SLOT})[^ ]+", "$1")).otherwise(F.col("v"))
     size = F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0])
-    words = marked.select(key, F.when(F.col("has"), F.split("v", " ")).alias("values"), F.split(plain, " ").alias("t"), size.alias("size"))
+    words = marked.select(*keys, F.when(F.col("has"), F.split("v", " ")).alias("values"), F.split(plain, " ").alias("t"), size.alias("size"))
     places = F.sequence(F.lit(1), F.greatest(F.size("t") - F.col("size") + 1, F.lit(1)))
     template = lambda i: F.xxhash64(F.col("size"), F.slice("t", i, F.col("size")))
     few = lambda i: F.size(F.filter(F.slice("t", i, F.col("size")), lambda x: ~x.isin(NUMBER, NAME, UNIT))) < F.least(F.lit(literals), F.col("size"))
     valued = F.transform(places, lambda i: F.when(few(i), F.xxhash64(F.col("size"), F.slice("values", i, F.col("size")))).otherwise(template(i)))
     hashes = F.when((F.size("t") >= F.col("size")) & (F.element_at("t", 1) != ""), F.when(F.col("values").isNull(), F.transform(places, template)).otherwise(valued))
-    return words.select(key, "size", "values", F.posexplode(hashes).alias("at", "h")).withColumn("at", F.col("at") + 1)
+    return words.select(*keys, "size", "values", F.posexplode(hashes).alias("at", "h")).withColumn("at", F.col("at") + 1)
 
 
 def _slots(values: str, at: str, size: str) -> Column:
@@ -69,11 +70,11 @@ def _slots(values: str, at: str, size: str) -> Column:
 
 def _items(benchmark: DataFrame, window: int, literals: int) -> tuple[DataFrame, list[int]]:
     """Windows of the items, and how many an item has; an item with fewer words than a window is one window of its own size."""
-    own = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    sized = _valued(own.withColumn("own", F.col("text")), "item_id", "own").select("item_id", F.col("own").alias("text"), F.size(F.split("v", " ")).alias("_words"), F.length("v").alias("_length"))
+    own = benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("item_row")).where(F.col("text").isNotNull())
+    sized = _valued(own.withColumn("own", F.col("text")), "item_id", "item_row", "own").select("item_id", "item_row", F.col("own").alias("text"), F.size(F.split("v", " ")).alias("_words"), F.length("v").alias("_length"))
     short = sized.where((F.col("_words") < window) & (F.col("_length") > 0)).select("_words").distinct().collect()  # fewer than `window` rows
     sizes = sorted({r["_words"] for r in short}) + [window]
-    parts = [_windows(sized.where((F.col("_words") == s) if s < window else (F.col("_words") >= window)), "item_id", [s], literals) for s in sizes]
+    parts = [_windows(sized.where((F.col("_words") == s) if s < window else (F.col("_words") >= window)), ("item_id", "item_row"), [s], literals) for s in sizes]
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -83,28 +84,33 @@ def _items(benchmark: DataFrame, window: int, literals: int) -> tuple[DataFrame,
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, least: int = FOUND) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots): the documents in which an item is found, one row for each such pair.
 
-    An item (item_id, text) is found if `least` of its windows, or all if it has fewer, match on diagonals whose slots
-    are consistent; windows with fewer than `literals` words that aren't placeholders match with equal values only. As
+    An item (item_id, text) is found if `least` of its windows, or all if it has fewer, match with equal values, or on
+    diagonals whose slots are consistent; windows with fewer than `literals` words that aren't placeholders match with equal values only. As
     other values may have been given to an item, it is found as well if that holds of its other windows. n_windows counts those windows once, n_slots the values of placeholders in them. Null or empty texts
-    match nothing; rows that repeat a doc_id or an item_id are taken together.
+    match nothing. Windows of rows that repeat a doc_id or an item_id are taken together, their slots are not.
     """
     windows, sizes = _items(benchmark, window, literals)
     windows = windows.withColumn("slots", _slots("values", "at", "size"))
     literal = F.col("size") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.lit(literals), F.col("size"))
-    items = cut(windows.select("item_id", literal.alias("free"), "size", F.col("at").alias("item_at"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots")))
+    items = cut(windows.select("item_id", "item_row", literal.alias("free"), "size", F.col("at").alias("item_at"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots")))
     n_free = F.countDistinct(F.when(F.col("free"), F.col("item_at")))
     of = (F.least(F.countDistinct("item_at"), F.lit(least)).alias("needed"), F.when(n_free > 0, F.least(n_free, F.lit(least))).alias("needed_free"))
     needed = items.groupBy("item_id").agg(*of).withColumnRenamed("item_id", "_item")
     side = items.drop("size").withColumnRenamed("item_h", "h")
     if items.count() <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
-    met = _windows(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", sizes, literals).join(side, "h").withColumn("slots", _slots("values", "at", "size"))
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), "text").where(F.col("text").isNotNull())
+    met = _windows(own, ("doc_id", "doc_row"), sizes, literals).join(side, "h").withColumn("slots", _slots("values", "at", "size"))
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     # Overlapping windows repeat their pairs; sets keep what a diagonal holds within the size of its item.
-    found = met.select("doc_id", "item_id", F.struct("item_at", "free").alias("place"), (F.col("at") - F.col("item_at")).alias("shift"), F.coalesce(pairs, F.array().cast("array<struct<i:string,d:string>>")).alias("pairs"))
-    diagonals = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    kept = diagonals.where(consistent).groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
+    none = F.array().cast("array<struct<i:string,d:string>>")
+    found = met.select("doc_id", "doc_row", "item_id", "item_row", F.struct("item_at", "free").alias("place"), (F.col("at") - F.col("item_at")).alias("shift"), F.coalesce(pairs, none).alias("pairs"))
+    equal = F.forall("pairs", lambda p: p["i"] == p["d"])
+    side = lambda c: F.struct(F.collect_set(F.when(c, F.col("place"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(c, F.col("pairs"))))).alias("pairs"))
+    diagonals = found.groupBy("doc_id", "doc_row", "item_id", "item_row", "shift").agg(side(F.lit(True)).alias("whole"), side(equal).alias("equal"))
+    consistent = F.size("whole.pairs") == F.size(F.array_distinct(F.transform("whole.pairs", lambda p: p["i"])))
+    counted = diagonals.select("doc_id", "item_id", F.when(consistent, F.col("whole")).otherwise(F.col("equal")).alias("own")).select("doc_id", "item_id", "own.*").where(F.size("places") > 0)
+    kept = counted.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
     n_of = lambda places: F.size(F.array_distinct(F.transform(places, lambda p: p["item_at"])))
     enough = (n_of("places") >= F.col("needed")) | (n_of(F.filter("places", lambda p: p["free"])) >= F.col("needed_free"))
     judged = kept.join(needed, F.col("item_id") == F.col("_item")).where(enough)

@@ -18,3 +18,16 @@ def test_items_of_few_literals_are_found(spark):
     docs += [(11, "before. " + HEAVY.replace("3", "30").replace("8", "80").replace("11", "21")), (12, SHORT.replace("12", "13")), (13, "Take 6 kg")]
     docs += [(15, MIXED.replace("3", "13").replace("5", "15").replace("7", "17"))]
     assert _found(spark, docs, items) == {(i, i) for i, _ in items} | {(15, 5)}
+
+
+LONG = "Then Peter gave 2 of the blue boats to the other children at the shore and they sailed 2 of them over the lake until the wind fell late in the evening"
+
+
+def test_one_slot_that_differs_takes_no_equal_windows_away(spark):
+    texts = [(1, LONG.replace("2", "3", 1)), (2, LONG.replace("2", "3", 1).replace("2", "5")), (3, LONG.replace("2", "3", 1).replace("2", "5").replace("shore", "beach").replace("lake", "sea").replace("late", "soon"))]
+    assert _found(spark, texts, [(1, LONG)]) == {(1, 1), (2, 1)}
+
+
+def test_rows_of_one_document_have_their_own_slots(spark):
+    item = "Lena buys 7 red apples and then she gives 7 red apples to her small brother who eats 7 red apples after lunch today"
+    assert _found(spark, [(1, item.replace("7", "9")), (1, item.replace("7", "4"))], [(1, item)]) == {(1, 1)}

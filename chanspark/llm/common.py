@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +47,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def digits(value: Column) -> Column:
-    """A column's name in backticks is safe for names with dots; integers become long."""
-    return value.cast("long")
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows whose text takes about limit bytes; a longer text is a run of its own."""
     for batch in batches:
@@ -143,21 +139,46 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return uri
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, n of each at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _powers[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 4, base, np.uint64))])
-    return _powers
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each run: a polynomial from prefix sums, its bits mixed with the length."""
-    power, inverse = _powers_to(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+#: Bytes up to which a run is hashed and compared eight bytes at a time, all runs at once; longer ones go one by one.
+LONG_RUN = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; past the end are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[s:e] of each run.
+
+    Eight bytes at a time go through a bijection, so the hash has no algebra that texts could be made for, and runs of
+    one length of 8 bytes or fewer have equal hashes only if they are equal. Longer ones can share a hash by chance.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eights, some = _eights(data), np.flatnonzero(sizes <= LONG_RUN)
+    for at in range(0, LONG_RUN, 8):
+        some = some[sizes[some] > at]
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ (eights[starts[some] + at] & _LOW[np.minimum(sizes[some] - at, 8)]))
+    for i in np.flatnonzero(sizes > LONG_RUN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), 1)
+    return out
+
+
+def equal_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether the bytes data[s:e] and other[b:t] are the same, for each pair of runs."""
+    sizes = ends - starts
+    out = sizes == stops - begins
+    left, right, some = _eights(data), _eights(other), np.flatnonzero(out & (sizes <= LONG_RUN))
+    for at in range(0, LONG_RUN, 8):
+        some = some[sizes[some] > at]
+        if not len(some):
+            break
+        out[some] &= (left[starts[some] + at] ^ right[begins[some] + at]) & _LOW[np.minimum(sizes[some] - at, 8)] == 0
+    for i in np.flatnonzero(out & (sizes > LONG_RUN)).tolist():
+        out[i] = np.array_equal(data[starts[i] : ends[i]], other[begins[i] : stops[i]])
+    return out

@@ -29,6 +29,8 @@ from chanspark.llm.components import components
 SHINGLE_WORDS = 4
 HASH_SEED = 42
 MAX_BITS = 4
+#: Shingles that the kernels hold at once.
+BLOCK = 1 << 16
 
 #: The generator polynomial of the binary Golay code of 23 bits, and where a fingerprint is cut.
 GOLAY = 0b110001110101
@@ -39,35 +41,44 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def shingle_hashes(column: pa.Array, shingle: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The unsigned hashes of all shingles, text after text, and where each text's begin (and the last end)."""
+    """The unsigned hashes of all shingles, text after text, and where each text's begin (and the last end).
+
+    Shingles are made in blocks, so a very long text takes some ten times its bytes.
+    """
     data, offsets = buffer(column)
     starts, ends, firsts = word_bounds(data, offsets)
-    solid = ~WHITE[data]
-    keep = solid.copy()
-    keep[1:] |= solid[:-1]  # each word, and one byte of white space after it
-    joined = np.where(solid, LOWER[data], np.uint8(0x20))[keep]
-    place = np.cumsum(keep) - 1
     words = np.diff(firsts)
-    count = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
-    upto = np.concatenate([[0], np.cumsum(count)])
-    text = np.repeat(np.arange(len(words)), count)
-    first = np.arange(upto[-1]) - upto[text] + firsts[text]
-    last = np.minimum(first + shingle - 1, firsts[text + 1] - 1)
-    bounds = zip(place[starts[first]].tolist(), (place[ends[last] - 1] + 1).tolist(), strict=True)
-    raw, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    return np.fromiter((digest(raw[a:b], HASH_SEED) for a, b in bounds), np.uint64, len(first)), upto
+    upto = np.concatenate([[0], np.cumsum(np.where(words > 0, np.maximum(words - shingle + 1, 1), 0))])
+    out, digest = np.empty(upto[-1], np.uint64), xxhash.xxh64_intdigest
+    for at in range(0, len(out), BLOCK):
+        number = np.arange(at, min(at + BLOCK, len(out)))
+        text = np.searchsorted(upto, number, "right") - 1
+        first = number - upto[text] + firsts[text]
+        last = np.minimum(first + shingle - 1, firsts[text + 1] - 1)
+        low = starts[first[0]]
+        own = data[low : ends[last[-1]]]
+        solid = ~WHITE[own]
+        keep = solid.copy()
+        keep[1:] |= solid[:-1]  # each word, and one byte of white space after it
+        raw = np.where(solid, LOWER[own], np.uint8(0x20))[keep].tobytes()
+        place = np.cumsum(keep) - 1
+        bounds = zip(place[starts[first] - low].tolist(), (place[ends[last] - 1 - low] + 1).tolist(), strict=True)
+        out[number] = np.fromiter((digest(raw[a:b], HASH_SEED) for a, b in bounds), np.uint64, len(number))
+    return out, upto
 
 
 def majority(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """The unsigned fingerprint of every text from its shingles' hashes."""
     count = np.diff(upto)
-    out = np.zeros(len(count), np.uint64)
-    some = np.flatnonzero(count)
-    if some.size:
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    ones = np.zeros((len(count), 64), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK]
+        first, last = np.searchsorted(upto, [at, at + len(part) - 1], "right") - 1
+        texts = np.arange(first, last + 1)
+        texts = texts[count[texts] > 0]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[texts] += np.add.reduceat(bits, np.maximum(upto[texts] - at, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE_WORDS) -> np.ndarray:

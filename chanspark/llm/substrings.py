@@ -7,13 +7,16 @@ A word goes if a window of 13 consecutive words covers it that also starts in a
 2. Copies of a whole text follow from the text's digest alone. Of the other documents, the windows with shared anchors
    are put together to passages, by owner: the owner's own passages are its reference shard.
 3. Each reference shard becomes a suffix automaton of words, in every task that has documents for it: an owner with
-   many documents is given to several tasks. The documents' passages are streamed through it for matching statistics;
-   where the match is 13 words or longer, the window is in the owner's text.
+   much to be compared is given to several tasks, and a very long owner is cut into blocks by its anchors. The
+   documents' passages are streamed through it for matching statistics; where the match is 13 words or longer, the
+   window is in the owner's text.
 4. A window that its owner does not have is in no smaller document but those that miss it there too, so the rest is
    settled among such windows alone, by the smallest doc_id of equal ones.
 
-The automata hold words as 64-bit hashes. They go to the tasks with documents for them, and not to all tasks: with all of
-a growing corpus as reference, all documents against all shards would be quadratic.
+The automata hold words as 64-bit hashes, so two windows are taken for one only if they are equal but for words that
+share a hash, at the same places: a chance of 2^-64 for each pair of windows that are that close. Windows of step 4 are
+told apart by 128 bits. The automata go to the tasks with documents for them, and not to all tasks: with all of a
+growing corpus as reference, all documents against all shards would be quadratic.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from chanspark.llm.common import WHITE, buffer, cut, mix, partitions, run_hashes
 WINDOW = 13
 #: Words of the runs whose least hash is a window's anchor.
 ANCHOR = 6
-#: Documents that one copy of a reference shard is to serve.
-SERVED = 2000
+#: Anchors met in documents that one copy of a reference shard is to serve, or COPIES times its own anchors, so that copies are little of the work.
+SERVED, COPIES = 4000, 4
+#: Anchors of a reference shard: an owner with more is cut into blocks.
+BLOCK = 8192
 NULL_ID = -(1 << 63)
 
 
@@ -135,6 +140,17 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _window_hashes(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window of word hashes that begins at one of first, in two signed longs."""
+    halves = []
+    for seed in (1, 2):
+        h = np.full(len(first), seed, np.uint64)
+        for k in range(window):
+            h = mix(h + words[first + k])
+        halves.append(h.view(np.int64))
+    return halves[0], halves[1]
+
+
 def _digests(column: pa.Array) -> np.ndarray:
     data, offsets = buffer(column)
     raw = data.tobytes()
@@ -160,7 +176,7 @@ def _anchors(texts: DataFrame, window: int, digests: bool) -> DataFrame:
 
 
 def _passages(marked: DataFrame, window: int) -> DataFrame:
-    """(owner, salt, reference, id, digest, start, words) from (id, text, shared): passages with shared anchors, by owner."""
+    """(owner, block, salt, reference, id, digest, start, words) from (id, text, shared): passages with shared anchors, by owner and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -173,16 +189,16 @@ def _passages(marked: DataFrame, window: int) -> DataFrame:
             of = np.repeat(np.arange(part.num_rows), sizes).astype(np.uint64)
             known = mix(flat.field(0).to_numpy().view(np.uint64) + mix(of + np.uint64(1)))
             order = np.argsort(known)
-            known, owners, salts = known[order], flat.field(1).to_numpy()[order], flat.field(2).to_numpy()[order]
+            known, owners, blocks, salts = known[order], *(flat.field(k).to_numpy()[order] for k in (1, 2, 3))
             asked = mix(anchor + mix(text.astype(np.uint64) + np.uint64(1)))
             place = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
             hit = known[place] == asked if len(known) else np.zeros(len(asked), bool)
             first, text, place = first[hit], text[hit], place[hit]
             if not len(first):
                 continue
-            owner, salt = owners[place], salts[place]
+            owner, block, salt = owners[place], blocks[place], salts[place]
             begin = np.ones(len(first), bool)
-            begin[1:] = (first[1:] != first[:-1] + 1) | (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
+            begin[1:] = (first[1:] != first[:-1] + 1) | (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]) | (text[1:] != text[:-1])
             at = np.flatnonzero(begin)
             end = np.append(at[1:], len(first)) - 1
             own, lead, stop = text[at], first[at], first[end] + window
@@ -195,11 +211,11 @@ def _passages(marked: DataFrame, window: int) -> DataFrame:
             upto = np.concatenate([[0], np.cumsum(lengths)])
             taken = words[np.arange(upto[-1]) + np.repeat(lead[row] - upto[:-1], lengths)].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(owner[at][row]), pa.array(which.astype(np.int32)), pa.array(reference[row]), pa.array(ids[own[row]]), pa.array(digests[own[row]]), pa.array((lead - firsts[own])[row].astype(np.int64)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(taken))],
-                ["owner", "salt", "reference", "id", "digest", "start", "words"],
+                [pa.array(owner[at][row]), pa.array(block[at][row].astype(np.int32)), pa.array(which.astype(np.int32)), pa.array(reference[row]), pa.array(ids[own[row]]), pa.array(digests[own[row]]), pa.array((lead - firsts[own])[row].astype(np.int64)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(taken))],
+                ["owner", "block", "salt", "reference", "id", "digest", "start", "words"],
             )
 
-    return marked.mapInArrow(run, "owner long, salt int, reference boolean, id long, digest long, start long, words array<long>")
+    return marked.mapInArrow(run, "owner long, block int, salt int, reference boolean, id long, digest long, start long, words array<long>")
 
 
 def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,38 +225,37 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _streamed(passages: DataFrame, window: int, parts: int) -> DataFrame:
-    """(id, digest, start, stop, h): spans of words that are in the owner's text (h null), and windows that aren't (h: their hash)."""
+    """(id, digest, start, stop, h, h2): spans of words that are in the owner's text (h null), and windows that aren't (with their hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            lists = batch.column(6)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            lists = batch.column(7)
             upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             flat = lists.flatten().to_numpy()
             words = flat.tolist()
-            out: list[list] = [[], [], [], [], []]
-            for k, (owner, salt, reference, doc, digest, start) in enumerate(zip(*[c.tolist() for c in columns], strict=True)):
+            out: list[list] = [[], [], [], [], [], []]
+            for k, (*own, reference, doc, digest, start) in enumerate(zip(*[c.tolist() for c in columns], strict=True)):
                 a, b = int(upto[k]), int(upto[k + 1])
-                if (owner, salt) != shard:
-                    shard, automaton = (owner, salt), Automaton()
+                if own != shard:
+                    shard, automaton = own, Automaton()
                 if reference:
                     automaton.add(words[a:b])
                     continue
                 full = np.array(automaton.matches(words[a:b])[window - 1 :]) >= window
                 for first, last in zip(*[x.tolist() for x in _runs(np.flatnonzero(full))], strict=True):
-                    for c, v in zip(out, (doc, digest, start + first, start + last + window, None), strict=True):
+                    for c, v in zip(out, (doc, digest, start + first, start + last + window, None, None), strict=True):
                         c.append(v)
                 missed = np.flatnonzero(~full)
-                if len(missed):
-                    hashes = run_hashes(flat[a:b].view(np.uint64), missed, missed + window).view(np.int64).tolist()
-                    n = len(hashes)
-                    for c, v in zip(out, ([doc] * n, [digest] * n, (start + missed).tolist(), (start + missed + window).tolist(), hashes), strict=True):
+                if n := len(missed):
+                    hashes = [h.tolist() for h in _window_hashes(flat[a:b].view(np.uint64), missed, window)]
+                    for c, v in zip(out, ([doc] * n, [digest] * n, (start + missed).tolist(), (start + missed + window).tolist(), *hashes), strict=True):
                         c.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "digest", "start", "stop", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "digest", "start", "stop", "h", "h2"])
 
-    dealt = passages.repartition(parts, "owner", "salt").sortWithinPartitions("owner", "salt", F.col("reference").desc())
-    return dealt.mapInArrow(run, "id long, digest long, start long, stop long, h long")
+    dealt = passages.repartition(parts, "owner", "block", "salt").sortWithinPartitions("owner", "block", "salt", F.col("reference").desc())
+    return dealt.mapInArrow(run, "id long, digest long, start long, stop long, h long, h2 long")
 
 
 def release(spark: SparkSession) -> None:
@@ -268,10 +283,14 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = heads.join(copied.select(F.col("id").alias("copy"), F.col("of").alias("copy_of")), (F.col("id") == F.col("copy")) & (F.col("md5") == F.col("copy_of")), "left_anti").select(F.col("id").alias("own")).distinct()
 
     counted = _anchors(texts, window, digests=True).groupBy("anchor").agg(F.min("digest").alias("one"), F.max("digest").alias("other"), F.min("id").alias("owner"), F.count("*").alias("n"))
-    salts = F.ceil(F.max("n").over(W.partitionBy("owner")) / SERVED).cast("int")  # an owner has no more anchors than words
-    shared = counted.where("one <> other").select(F.col("anchor").alias("a"), "owner", salts.alias("salts"))
-    marks = _anchors(texts, window, digests=False).join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "owner", "salts")
-    lists = cut(marks.join(own, F.col("id") == F.col("own"), "left_semi").groupBy("id").agg(F.collect_set(F.struct("anchor", "owner", "salts")).alias("shared")))
+    several = counted.where("one <> other").select(F.col("anchor").alias("a"), "owner", "n")
+    sizes = several.groupBy(F.col("owner").alias("_owner")).agg(F.sum("n").alias("met"), F.count("*").alias("anchors"))
+    blocks = sizes.select("_owner", F.ceil(F.col("anchors") / BLOCK).alias("blocks"), F.col("met") / F.greatest(F.lit(SERVED), COPIES * F.col("anchors")))
+    blocks = blocks.toDF("_owner", "blocks", "copies").select("_owner", "blocks", F.ceil("copies").cast("int").alias("salts"))
+    placed = several.join(blocks, F.col("owner") == F.col("_owner"))
+    shared = placed.select("a", "owner", F.pmod(F.col("a"), F.col("blocks")).cast("int").alias("block"), "salts")
+    marks = _anchors(texts, window, digests=False).join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "owner", "block", "salts")
+    lists = cut(marks.join(own, F.col("id") == F.col("own"), "left_semi").groupBy("id").agg(F.collect_set(F.struct("anchor", "owner", "block", "salts")).alias("shared")))
     del counted, shared, marks
     release(spark)
 
@@ -280,8 +299,8 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     del marked
     release(spark)
     missed = streamed.where("h IS NOT NULL")
-    first = missed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("same"), "least")
-    later = missed.join(first, (F.col("h") == F.col("same")) & (F.col("id") > F.col("least"))).select("id", "digest", "start", "stop")
+    first = missed.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("same"), F.col("h2").alias("same2"), "least")
+    later = missed.join(first, (F.col("h") == F.col("same")) & (F.col("h2") == F.col("same2")) & (F.col("id") > F.col("least"))).select("id", "digest", "start", "stop")
     found = streamed.where("h IS NULL").select("id", "digest", "start", "stop").union(later)
     return copies.join(found.groupBy("id").agg(F.collect_set(F.struct("digest", "start", "stop")).alias("spans")), "id", "full_outer")
 

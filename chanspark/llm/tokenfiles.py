@@ -13,18 +13,17 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from chanspark.llm.common import buffer, cut, fresh_folder, run_hashes, slices, storage
+from chanspark.llm.common import buffer, cut, equal_runs, fresh_folder, run_hashes, slices, storage
 from chanspark.llm.ordered import by_doc_id
 from chanspark.llm.pieces import ragged
 
@@ -36,12 +35,13 @@ REMEMBERED = 600_000
 
 #: Magic numbers of skippable frames (the list of documents, the seek table) and of the seek table's footer.
 LIST_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Fixed value: how the byte-level tokenizer splits a text before it merges.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class ByteLevel:
-    """A byte-level tokenizer of the tokenizers library that remembers the words it has met, by their hashes.
+    """A byte-level tokenizer of the tokenizers library that remembers the words it has met.
+
+    Words are found by a hash, and their bytes are compared with those of the word remembered; where two words share a
+    hash, the texts with the second one go to the library whole.
 
     The library splits a text by a pattern and merges within each part alone, so a text of words and single white
     space can be cut before each space and around each line break without a change to its ids. Other texts, and
@@ -56,33 +56,56 @@ class ByteLevel:
         self.own.encode_special_tokens = True
         before = str(self.own.pre_tokenizer)
         self.splits = self.own.normalizer is None and before.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in before
-        self.parts = regex.compile(SPLIT)
+        breaks = self._whole(["\n", "a\nb"])
+        self.line = breaks[0][0]
+        self.splits = self.splits and len(breaks[0]) == 1 and breaks[1].count(self.line) == 1
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}  # of a word's hash among the words met
         self.flat, self.at = array("I"), array("q", [0])
+        self.raw, self.raw_at = bytearray(), array("q", [0])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        split = [[w] if w[w[0] == " " :].isalpha() else self.parts.findall(w) for w in words]
-        fresh = list(set(chain.from_iterable(split)))
-        ids = dict(zip(fresh, self._whole(fresh), strict=True))
-        for h, own in zip(hashes, split, strict=True):
-            self.place[h] = len(self.at) - 1
-            for part in own:
-                self.flat.extend(ids[part])
-            self.at.append(len(self.flat))
+    def _learn(self, hashes: list[int], raw: list[bytes]) -> None:
+        """New words go to the library as the lines of one text, whose ids are cut at those of its line breaks; a line break itself is a word too."""
+        breaks = [i for i, w in enumerate(raw) if w == b"\n"]  # one at most, of different words
+        lines = [w for w in raw if w != b"\n"]
+        ids = np.array(self._whole([(b"\n".join([*lines, b""])).decode()])[0], np.uint32)
+        ends = np.flatnonzero(ids == self.line)
+        sizes = np.diff(ends, prepend=-1) - 1
+        if len(sizes) != len(lines):
+            raise ValueError("the tokenizer joins line breaks to words")
+        kept = ids[ids != self.line]
+        if breaks:
+            kept, sizes = np.insert(kept, sizes[: breaks[0]].sum(), np.uint32(self.line)), np.insert(sizes, breaks[0], 1)
+        self.place.update(zip(hashes, range(len(self.at) - 1, len(self.at) - 1 + len(hashes)), strict=True))
+        self.at.frombytes((self.at[-1] + np.cumsum(sizes)).tobytes())
+        self.flat.frombytes(kept.astype(np.uint32).tobytes())
+        self.raw_at.extend(list(accumulate(map(len, raw), initial=self.raw_at[-1]))[1:])
+        self.raw += b"".join(raw)
+
+    def _others(self, data: np.ndarray, led: np.ndarray, ends: np.ndarray, code: np.ndarray, where: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The numbers of words that aren't those remembered under their hash; where: the first word of each code."""
+        first = where[code]
+        sizes = ends - led
+        wrong = sizes != sizes[first]
+        longer = np.flatnonzero((sizes > 8) & ~wrong & (first != np.arange(len(first))))  # of shorter ones, hash and size tell all
+        wrong[longer] = ~equal_runs(data, led[longer], ends[longer], data, led[first[longer]], ends[first[longer]])
+        at = np.frombuffer(self.raw_at, np.int64)
+        unlike = ~equal_runs(data, led[where], ends[where], np.frombuffer(self.raw, np.uint8), at[known], at[known + 1])
+        return np.flatnonzero(wrong | unlike[code])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after one another, and where each begins (and the last ends); null is empty."""
         data, offsets = buffer(column)
-        gap = (data == 0x20) | (data == 0x0A)
+        kinds = np.take(KINDS, data)
+        gap, line = (kinds & GAP) != 0, data == 0x0A
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True  # where a text begins or ends
-        odd = ODD[data]
+        odd = (kinds & ODD) != 0
         odd[1:] |= gap[1:] & gap[:-1] & ~edge[1:-1] if len(data) else False
         odd |= gap & (edge[:-1] | edge[1:])
         whole = np.zeros(len(column), bool)
@@ -90,15 +113,16 @@ class ByteLevel:
         if not self.splits:
             whole[:] = True
         # A letter ends its part where a sign follows, which is not so of all signs before letters.
-        letter = LETTERS[data]
-        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7) & (data[1:] >= 0x80)
-        sign = np.zeros(len(data), bool)
-        sign[1:] = SIGNS[data[1:]] & letter[:-1] & ~edge[1:-1]
-        first = ~gap
-        first[1:] &= gap[:-1] | edge[1:-1] | sign[1:]
-        last = ~gap
-        last[:-1] &= gap[1:] | edge[1:-1] | sign[1:]
-        line = data == 0x0A
+        sign = np.flatnonzero((kinds[1:] & SIGN) != 0) + 1
+        before = data[sign - 1]
+        ahead = data[np.maximum(sign - 2, 0)]
+        letter = ((kinds[sign - 1] & LETTER) != 0) | ((ahead == 0xC3) & (sign > 1) & (before != 0x97) & (before != 0xB7) & (before >= 0x80))
+        cut_at = sign[letter & ~edge[sign]]
+        first, last = ~gap, ~gap
+        first[1:] &= gap[:-1] | edge[1:-1]
+        last[:-1] &= gap[1:] | edge[1:-1]
+        first[cut_at] = True
+        last[cut_at - 1] = True
         starts = np.flatnonzero(first | line)
         ends = np.flatnonzero(last | line) + 1
         counts = np.searchsorted(starts, offsets)
@@ -111,13 +135,16 @@ class ByteLevel:
             self.forget()
         found = list(map(self.place.get, distinct.tolist()))
         fresh = [i for i, x in enumerate(found) if x is None]
+        where = np.empty(len(distinct), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
         if fresh:
-            where = np.empty(len(distinct), np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
             raw, at = data.tobytes(), where[fresh]
-            self._learn(distinct[fresh].tolist(), [raw[s:e].decode() for s, e in zip(led[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn(distinct[fresh].tolist(), [raw[s:e] for s, e in zip(led[at].tolist(), ends[at].tolist(), strict=True)])
             found = list(map(self.place.get, distinct.tolist()))
-        ids, upto = ragged(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.at, np.int64), np.array(found, np.int64)[code])
+        known = np.array(found, np.int64)
+        other = self._others(data, led, ends, code, where, known)
+        whole[np.searchsorted(counts, other, "right") - 1] = True
+        ids, upto = ragged(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.at, np.int64), known[code])
         offsets = upto[counts]
         if whole.any():
             runs = [ids[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -128,13 +155,13 @@ class ByteLevel:
         return ids, offsets
 
 
-LETTERS = np.zeros(256, bool)
-LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
-SIGNS = np.zeros(256, bool)
-SIGNS[list(b",.;:!?")] = True
-#: Bytes that make a text odd: white space other than space and line break, and first bytes of characters that may be such.
-ODD = np.zeros(256, bool)
-ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: What a byte is: a gap, a letter, a sign, or odd (white space other than space and line break, and first bytes of characters that may be such).
+GAP, LETTER, SIGN, ODD = 1, 2, 4, 8
+KINDS = np.zeros(256, np.uint8)
+KINDS[[0x20, 0x0A]] = GAP
+KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+KINDS[list(b",.;:!?")] = SIGN
+KINDS[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = ODD
 
 
 _loaded: dict[str, ByteLevel] = {}

@@ -25,7 +25,7 @@ def _star(sides: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Links (a, b) of longs, in any order and repeated at will, to (node, root): root is the smallest node that node reaches.
+    """Links (a, b) of longs (or of structs, by their order), in any order and repeated at will, to (node, root): root is the smallest node that node reaches.
 
     Nodes that no link names are left out, as are links from a node to itself or to null. Each round writes its links
     to the shared folder; the number of rounds grows with the logarithm of the number of nodes.

@@ -188,13 +188,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     hashed = cut(simhash(docs, shingle))
     distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     pairs = cut(links(distinct, max_bits))
-    roots = cut(components(pairs))
-    linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "least_id", "root")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    members = linked.join(least, "root").select(F.col("fp").alias("own"), "component_id")
-    degree = pairs.select(F.col("a").alias("own")).union(pairs.select("b")).groupBy("own").agg(F.count("*").alias("n_links"))
-    known = distinct.join(members.join(degree, "own"), F.col("fp") == F.col("own"), "left").select(
-        F.col("fp").alias("of"), F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    # A node is ordered by its smallest doc_id, none last, so the root of a component has the smallest of all.
+    node = distinct.select("fp", F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp").alias("node"))
+    sides = [node.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}")) for k in "ab"]
+    named = pairs.join(sides[0], "a").join(sides[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = components(named).select(F.col("node.fp").alias("own"), F.col("root.least_id").alias("root_id"))
+    degree = pairs.select(F.col("a").alias("one")).union(pairs.select("b")).groupBy("one").agg(F.count("*").alias("n_links"))
+    known = distinct.join(roots, F.col("fp") == F.col("own"), "left").join(degree, F.col("fp") == F.col("one"), "left").select(
+        F.col("fp").alias("of"), F.coalesce("root_id", "least_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     return hashed.join(known, F.col("fp") == F.col("of")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links"

@@ -7,6 +7,11 @@ last in it: then texts that only share a passage don't meet.
 
 What meets is first held against bitmaps of parities, which differ in no more bits than the sets differ in shingles, and
 then compared in full.
+
+Groups don't need all their pairs. Of the texts that share a shingle of their prefixes, those next to each other in a
+mixed order are compared first, so a group of copies comes together at a cost in proportion to its size; a pair is
+compared in full only if it would join two groups. Then every two texts that share such a shingle and are still in
+different groups are compared. So each similar pair ends up within one group.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chanspark.llm import simhash
-from chanspark.llm.common import cut, mix, slices
+from chanspark.llm.common import cut, mix, partitions, slices, unused
 from chanspark.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -28,8 +33,10 @@ SAMPLE, OFTEN, LAST = 10_000, 3, 200_000
 #: Candidate texts up to this number are found by a broadcast of their ids; more by exchange.
 BROADCAST_IDS = 500_000
 
-#: Longs of a bitmap of parities; what rounding may take from a size.
+#: Least longs of a bitmap of parities, which has two bits a shingle at least; what rounding may take from a size.
 BITMAP, EPS = 16, 1e-9
+#: Pairs for each group, on average, up to which all are compared at once; beyond, each group's best pair goes first.
+AT_ONCE = 4
 
 
 def _sets(column: pa.Array, shingle: int, last: np.ndarray):
@@ -49,8 +56,9 @@ def _sets(column: pa.Array, shingle: int, last: np.ndarray):
     return simhash.majority(hashes, upto).view(np.int64), (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64), size, text, own
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+def _lists(values: np.ndarray, sizes: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
+    """Lists of these sizes; null where some is false."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values), mask=None if some is None else pa.array(~some))
 
 
 def _last(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -67,44 +75,82 @@ def _last(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, digest, fp, n, prefix): the digest tells whether two texts have the same n shingles."""
+    """(doc_id, digest, fp, n, prefix, bitmap): the digest tells whether two texts have the same n shingles.
+
+    prefix and bitmap are null where the task has had a text with that digest, so that copies don't repeat them.
+    """
     last = docs.sparkSession.sparkContext.broadcast(_last(docs, shingle))
+    names = ["doc_id", "digest", "fp", "n", "prefix", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, 1):
             fp, digest, size, text, own = _sets(part.column(1), shingle, last.value)
-            heads = np.where(size > 0, size - np.ceil(similarity * size - EPS).astype(np.int64) + 1, 0)
+            fresh = np.zeros(len(size), bool)
+            for i, d in enumerate(digest.tolist()):
+                if d not in seen:
+                    seen.add(d)
+                    fresh[i] = True
+            heads = np.where(fresh & (size > 0), size - np.ceil(similarity * size - EPS).astype(np.int64) + 1, 0)
             place = np.arange(len(own)) - (np.cumsum(size) - size)[text]
             prefix = own[place < heads[text]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest), pa.array(fp), pa.array(size.astype(np.int32)), _lists(prefix, heads)], ["doc_id", "digest", "fp", "n", "prefix"])
+            longs = np.where(fresh, BITMAP << np.ceil(np.log2(np.maximum(size / (32 * BITMAP), 1))).astype(np.int64), 0)
+            bitmap, begin, kept = np.zeros(longs.sum(), np.uint64), np.cumsum(longs) - longs, fresh[text]
+            bit, of = mix(own[kept] ^ np.uint64(0x9E3779B97F4A7C15)), text[kept]
+            place = begin[of] + ((bit >> np.uint64(32)).astype(np.int64) & (longs[of] - 1))
+            np.bitwise_xor.at(bitmap, place, np.uint64(1) << (bit & np.uint64(63)))
+            columns = [pa.array(digest), pa.array(fp), pa.array(size.astype(np.int32)), _lists(prefix, heads, fresh), _lists(bitmap.view(np.int64), longs, fresh)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(run, "doc_id long, digest long, fp long, n int, prefix array<long>")
+    return own.mapInArrow(run, "doc_id long, digest long, fp long, n int, prefix array<long>, bitmap array<long>")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The distinct rows (key, digest, n, at) whose key has another digest too: sorted by key, and read as a stream."""
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Of the distinct rows (key, digest, n, at), in order of key and then mixed, every two neighbours that share a key.
+
+    (key, digest, n, at, before: those of the row before, leads: whether that is the first of its key). Rows are cut into
+    ranges and read as a stream, so a key that many texts have may be cut too: the first and the last row of a range come
+    alone as well, with before null.
+    """
+    names = ["key", "digest", "n", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    whole = pa.struct(list(zip(names[1:], kinds[1:], strict=True)))
+
+    def alone(row: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array([x], k) for x, k in zip(row, kinds, strict=True)], pa.nulls(1, whole), pa.array([False])], [*names, "before", "leads"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the last row, of which it isn't known yet whether its key goes on; and whether it has begun before
+        last, lead = None, True  # the row before this batch, and whether it was the first of its key
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            table = pa.table([pa.array(c) for c in batch.columns], names=batch.schema.names)
-            if before is not None:
-                table = pa.concat_tables([before[0], table]).combine_chunks()
-            key, digest = (table.column(c).to_numpy() for c in ("key", "digest"))
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-            table, key = table.filter(pa.array(fresh)), key[fresh]
-            same = key[1:] == key[:-1]
-            met = np.concatenate([[before is not None and before[1]], same]) | np.concatenate([same, [False]])
-            yield from table.slice(0, len(key) - 1).filter(pa.array(met[:-1])).combine_chunks().to_batches()
-            before = table.slice(len(key) - 1), bool(met[-1])
-        if before is not None and before[1]:
-            yield from before[0].combine_chunks().to_batches()
-
-    return rows.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(run, "key long, digest long, n int, at int")
+            values = [c.to_numpy() for c in batch.columns]
+            if last is None:
+                yield alone([c[0] for c in values])
+            else:
+                values = [np.append(np.array([x], c.dtype), c) for x, c in zip(last, values, strict=True)]
+            same = values[0][1:] == values[0][:-1]
+            fresh = np.append(True, ~same | (values[1][1:] != values[1][:-1]))
+            values = [c[fresh] for c in values]
+            same = values[0][1:] == values[0][:-1]
+            leads = np.append(lead, ~same)
+            at = np.flatnonzero(same)
+            if len(at):
+                before = pa.StructArray.from_arrays([pa.array(c[at]) for c in values[1:]], fields=list(whole))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[at + 1]) for c in values], before, pa.array(leads[at])], [*names, "before", "leads"])
+            last, lead = [c[-1] for c in values], bool(leads[-1])
+        if last is not None:
+            yield alone(last)
+
+    ranged = rows.withColumn("mixed", F.xxhash64("digest", "key")).repartitionByRange(partitions(rows.sparkSession), "key", "mixed")
+    ordered = ranged.sortWithinPartitions("key", "mixed", "digest").select(*names)
+    return ordered.mapInArrow(run, "key long, digest long, n int, at int, before struct<digest:long,n:int,at:int>, leads boolean")
+
+
+def _entries(neighbours: DataFrame) -> DataFrame:
+    """The rows (key, digest, n, at) that neighbours has."""
+    return neighbours.select("key", "digest", "n", "at").union(neighbours.where("leads").select("key", "before.*"))
 
 
 def _enough(common: Column, x: Column, y: Column, similarity: float) -> Column:
@@ -112,46 +158,93 @@ def _enough(common: Column, x: Column, y: Column, similarity: float) -> Column:
     return common * (1 + similarity) >= F.lit(similarity) * (x + y) - EPS
 
 
-def _met(sketched: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): different digests that meet in a prefix, a < b, and whose sizes and places allow the similarity."""
-    rows = cut(_repeated(sketched.select("digest", "n", F.posexplode("prefix").alias("at", "key")).select("key", "digest", "n", "at")))
-    left, right = (rows.select("key", F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
+def _allowed(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of (a, n_a, at_a, b, n_b, at_b), which share a shingle, those whose sizes and places allow the similarity, once."""
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # from their first common shingle on
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & _enough(rest, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b").distinct()
+    fits = met.where((F.col("a") != F.col("b")) & _enough(rest, F.col("n_a"), F.col("n_b"), similarity))
+    return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sides(entries: DataFrame, *more: str) -> list[DataFrame]:
+    return [entries.select("key", F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in more]) for k in "ab"]
+
+
+def _across(entries: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all texts that meet in a prefix and are in different groups; group by group, so none within one is made."""
+    grouped = entries.join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "at", F.coalesce("root", "digest").alias("group"))
+    several = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.col("key").alias("k"))
+    left = cut(grouped.join(several, F.col("key") == F.col("k"), "left_semi"))
+    others = left.select(F.col("key").alias("k"), F.col("group").alias("other")).distinct()
+    a, b = _sides(left, "group")
+    asked = a.join(others, (F.col("key") == F.col("k")) & (F.col("group_a") < F.col("other"))).drop("k")
+    return _allowed(asked.join(b.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("other") == F.col("group_b"))), similarity)
+
+
+def _with_sides(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b, ...) with the columns of both digests' texts, as column_a and column_b."""
+    for k in "ab":
+        pairs = pairs.join(texts.select(F.col("digest").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
+    return pairs
 
 
-def _candidates(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(digest, shingles, bitmap) of the texts of documents of ids (id), each digest once."""
+def _close(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, unlike): the pairs whose bitmaps allow the similarity, and in how many bits they differ.
+
+    A bitmap's size is a power of two; the halves of the larger one, put together, have the parities of the smaller size.
+    """
+    texts = sketched.where("bitmap IS NOT NULL").select("digest", "n", "bitmap").dropDuplicates(["digest"])
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), F.shiftright(F.size(c), 1)), F.slice(c, F.shiftright(F.size(c), 1) + 1, F.shiftright(F.size(c), 1)), lambda x, y: x.bitwiseXOR(y))
+    least = lambda c, other: F.when(F.size(c) > F.size(other), half(c)).otherwise(F.col(c))  # noqa: E731  sizes that fit are at most one doubling apart
+    bits = F.zip_with(least("bitmap_a", "bitmap_b"), least("bitmap_b", "bitmap_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    unlike = F.aggregate(bits, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    judged = _with_sides(pairs, texts, "n", "bitmap").withColumn("unlike", unlike)
+    return judged.where(_enough((F.col("n_a") + F.col("n_b") - F.col("unlike")) / 2, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b", "unlike")
+
+
+def _verified(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets, compared in full, are similar enough."""
+    some = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
+    ids = cut(sketched.join(some, F.col("digest") == F.col("of"), "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id")).select("id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            _, digest, size, text, own = _sets(part.column(0), shingle, np.zeros(0, np.uint64))
-            bit = mix(own ^ np.uint64(0x9E3779B97F4A7C15))
-            bitmap = np.zeros(len(size) * BITMAP, np.uint64)
-            np.bitwise_xor.at(bitmap, text * BITMAP + (bit >> np.uint64(32)).astype(np.int64) % BITMAP, np.uint64(1) << (bit & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest), _lists(own.view(np.int64), size), _lists(bitmap.view(np.int64), np.full(len(size), BITMAP))], ["digest", "shingles", "bitmap"])
+            _, digest, size, _, own = _sets(part.column(0), shingle, np.zeros(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(digest), _lists(own.view(np.int64), size)], ["digest", "shingles"])
 
     few = ids.count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi").select("text")
-    return own.mapInArrow(run, "digest long, shingles array<long>, bitmap array<long>").dropDuplicates(["digest"])
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi").select("text")
+    sets = cut(texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"]))
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return _with_sides(pairs.select("a", "b"), sets, "shingles").where(_enough(common, F.size("shingles_a"), F.size("shingles_b"), similarity)).select("a", "b")
 
 
 def links(docs: DataFrame, sketched: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): the digests of all two different sets that are as similar as that, once; from docs and their _sketched."""
-    pairs = cut(_met(sketched, similarity))
-    some = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-    ids = cut(sketched.join(some, F.col("digest") == F.col("of"), "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id")).select("id").distinct())
-    sets = cut(_candidates(docs, ids, shingle))
+    entries = _entries(cut(_neighbours(_prefixes(sketched))))
+    a, b = _sides(entries)
+    return _verified(docs, sketched, cut(_close(_allowed(a.join(b, "key"), similarity), sketched, similarity)), shingle, similarity)
 
-    def with_sides(rows: DataFrame, column: str) -> DataFrame:
-        for k in "ab":
-            rows = rows.join(sets.select(F.col("digest").alias(k), F.size("shingles").alias(f"n_{k}"), F.col(column).alias(f"x_{k}")), k)
-        return rows
 
-    unlike = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    at_most = (F.col("n_a") + F.col("n_b") - unlike) / 2
-    close = cut(with_sides(pairs, "bitmap").where(_enough(at_most, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"))
-    return with_sides(close, "shingles").where(_enough(F.size(F.array_intersect("x_a", "x_b")), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
+def _prefixes(sketched: DataFrame) -> DataFrame:
+    return sketched.select("digest", "n", F.posexplode("prefix").alias("at", "key")).select("key", "digest", "n", "at")
+
+
+def _settled(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, known: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """known (a, b), whose components are roots, and as many of the similar ones among pairs as join the groups that all of them join."""
+    left = cut(_close(pairs, sketched, similarity))
+    while True:
+        for k in "ab":
+            left = left.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
+        left = cut(left.where("root_a <> root_b"))
+        best = cut(left.groupBy(F.greatest("root_a", "root_b").alias("group")).agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("p.a", "p.b"))
+        n, groups = left.count(), best.count()
+        if not n:
+            return known
+        tried = left.select("a", "b") if n <= AT_ONCE * groups else best
+        known = cut(known.union(_verified(docs, sketched, tried, shingle, similarity)))
+        if n <= AT_ONCE * groups:
+            return known
+        left, roots = left.select("a", "b", "unlike").join(tried, ["a", "b"], "left_anti"), components(known)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -168,7 +261,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float =
     left, right = (prints.select(F.col("fp").alias(k), F.col("of").alias(f"of_{k}")) for k in "ab")
     of_bits = near.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     same = distinct.join(prints, "fp").where("digest <> of").select(F.col("of").alias("a"), F.col("digest").alias("b"))
-    roots = components(of_bits.union(same).union(links(docs, each, shingle, similarity)))
+    known = cut(of_bits.union(same))
+    beside = cut(_neighbours(_prefixes(each)))
+    pairs = beside.where("before IS NOT NULL").select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), *[F.col(f"before.{c}").alias(k) for c, k in (("digest", "b"), ("n", "n_b"), ("at", "at_b"))])
+    known = _settled(docs, each, _allowed(pairs, similarity), known, components(known), shingle, similarity)
+    roots = components(known)
+    known = _settled(docs, each, _across(_entries(beside), roots, similarity), known, roots, shingle, similarity)
+    roots = components(known)
     grouped = distinct.join(roots, F.col("digest") == F.col("node"), "left").groupBy(F.coalesce("root", "digest").alias("group"))
     first = grouped.agg(F.min("least_id").alias("_first")).select("_first").distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = unused(docs, "_first")
+    return docs.join(first.withColumnRenamed("_first", kept), F.col("doc_id") == F.col(kept), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

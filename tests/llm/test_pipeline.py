@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chanspark.llm import simhash
 from test_operators import DATA, _fingerprint, _lines_left
+from test_similar import _near, _shingles
 
 
 @pytest.fixture(scope="module")
@@ -50,9 +51,11 @@ def test_lines(steps):
 
 
 def test_one_of_each_group_stays(steps):
+    """Groups are of texts that SimHash links or whose sets of shingles have a similarity of 0.8 or more."""
     before, after = steps[0]["near_dedup"]
     prints = {i: _fingerprint(r["text"], corpus_pipeline.SHINGLE_WORDS) for i, r in before.items()}
-    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= simhash.MAX_BITS
+    sets = {i: _shingles(r["text"]) for i, r in before.items()}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= simhash.MAX_BITS or _near(sets[a], sets[b])
     kept = sorted(after)
     assert not any(near(a, b) for a in kept for b in kept if a < b)
     for i in set(before) - set(after):  # what went has a chain to a smaller document

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,13 +21,20 @@ WHITE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chanspark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The URI of the folder that driver and executors share: spark.checkpoint.dir, in Spark's default file system if it names none.
+
+    Where it is unset, a local session (tests) gets a temporary folder; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="chanspark-")
+        context.setCheckpointDir(found)
+    if ":/" not in found:
+        found = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + "/" + found.lstrip("/")
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,6 +51,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chanspark.llm.common import cut
+from chanspark.llm.common import cut, quoted, unused
 
 RATIO = 0.05
 LEAST_PAGES = 5
@@ -41,19 +41,21 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     return joined.where(F.col("pages") > F.lit(ratio) * F.col("of_pages")).select("source", "key", "pages", "of_pages")
 
 
-def _with_gone(docs: DataFrame, found: DataFrame, few: bool) -> DataFrame:
-    """docs with _gone, the keys of the lines to drop from a page or its host.
+def _with_gone(docs: DataFrame, found: DataFrame, few: bool, gone: str) -> DataFrame:
+    """docs with column gone, the keys of the lines to drop from a page or its host.
 
     A few lines go to all pages by host. Of many, only keys and ids move until it is known which go from which page,
     and the join that finds it may be split at hot lines.
     """
+    host, row, line = (unused(docs, c) for c in ("_source", "_id", "_key"))
+    own = F.col("source").eqNullSafe(F.col(host))
     if few:
-        by_host = found.groupBy(F.col("source").alias("_source")).agg(F.collect_set("key").alias("_gone"), F.first(F.lit(0)).alias("_id"))
-        return docs.join(F.broadcast(by_host), F.col("source").eqNullSafe(F.col("_source")), "left")
-    keyed = docs.select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("_key"))
-    hit = keyed.join(found, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_key") == F.col("key")))
-    gone = hit.groupBy("_source", "_id").agg(F.collect_set("_key").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+        by_host = found.groupBy(F.col("source").alias(host)).agg(F.collect_set("key").alias(gone))
+        return docs.join(F.broadcast(by_host), own, "left").drop(host)
+    keyed = docs.select(F.col("source").alias(host), F.col("doc_id").alias(row), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias(line))
+    hit = keyed.join(found, F.col(host).eqNullSafe(F.col("source")) & (F.col(line) == F.col("key")))
+    by_page = hit.groupBy(host, row).agg(F.collect_set(line).alias(gone))
+    return docs.join(by_page, F.col("doc_id").eqNullSafe(F.col(row)) & own, "left").drop(host, row)
 
 
 def drop_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -61,27 +63,31 @@ def drop_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_P
 
     The kept lines stay in order, with blank ones, joined by line breaks. A page all of whose lines that aren't blank
     are boilerplate repeats as a whole, which is for document dedup to judge: it keeps its text. Null texts stay null,
-    with no lines. Rows that repeat are pages of their own.
+    with no lines; an empty text is one blank line. Rows that repeat are pages of their own, and an empty table gives
+    none. Other columns stay as they are, whatever their names.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     found = cut(boilerplate(docs, ratio, least_pages).select("source", "key"))
-    text = F.col("text")
-    both = _with_gone(docs, found, found.count() <= BROADCAST_LINES)
+    text, gone, left = F.col("text"), unused(docs, "_gone"), unused(docs, "_kept")
+    both = _with_gone(docs, found, found.count() <= BROADCAST_LINES, gone)
     lines = _lines(text)
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _key(x))))
+    kept = F.when(F.col(gone).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(gone), _key(x))))
     whole = F.exists(kept, lambda x: F.trim(x) != "")
-    out = both.withColumn("_kept", F.when(whole, kept).otherwise(lines))
+    out = both.withColumn(left, F.when(whole, kept).otherwise(lines))
     n = lambda c: F.when(text.isNull(), F.lit(0)).otherwise(F.size(c))
-    sized = out.withColumn("n_lines", n(lines).cast("long")).withColumn("n_dropped", (n(lines) - n(F.col("_kept"))).cast("long"))
-    return sized.withColumn("text", F.concat_ws("\n", "_kept")).withColumn("text", F.when(F.col("n_lines") > 0, F.col("text"))).drop("_kept", "_gone", "_id", "_source")
+    sized = out.withColumn("n_lines", n(lines).cast("long")).withColumn("n_dropped", (n(lines) - n(F.col(left))).cast("long"))
+    return sized.withColumn("text", F.when(F.col("n_lines") > 0, F.concat_ws("\n", left))).drop(left, gone)
 
 
 def without_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """docs with the same columns and rows, boilerplate lines gone from text; n_chars, if there, follows the text."""
-    out = drop_lines(docs, ratio, least_pages)
+    own = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    back = {v: k for k, v in own.items()}
+    names = [own.get(c, c) for c in docs.columns]
+    out = drop_lines(docs.withColumnsRenamed(own), ratio, least_pages)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*map(quoted, names)).withColumnsRenamed(back)
 
 
 def summary(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:

@@ -5,8 +5,9 @@ Each language has a variable-order context tree over folded bytes: how often eac
 fixed number: method C escapes from a context that has not seen the symbol, and shorter contexts leave out what the
 longer one has seen. The costs of all contexts are tabulated once on the driver; scoring a text adds up its table rows.
 
-Bounds: the trees are fitted on at most about ROWS_PER_LANGUAGE labelled rows of each of the LANGUAGES most frequent
-languages, which bounds the table that is broadcast. Every row of every size is then scored over its whole text.
+Bounds: the trees are fitted on at most about ROWS_PER_LANGUAGE labelled rows of each language. All languages that occur
+are learned; a table of costs beyond MODEL_BYTES is an error before it is made. Every row of every size is then scored
+over its whole text.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from chanspark.llm.common import buffer, cut, slices, unused
 
 ROWS_PER_LANGUAGE = 1500
-LANGUAGES = 64
+#: Bytes that the table of costs, which each worker has, may take.
+MODEL_BYTES = 1 << 30
 UNDETERMINED = "und"
 
-#: Symbols: 0 is any run of ASCII bytes that aren't letters, the last one stands for bytes that the sample seldom has.
-SYMBOL_BITS = 6
+#: Symbols: 0 is any run of ASCII bytes that aren't letters, the last one stands for bytes that no language often has.
+SYMBOL_BITS = 7
 SYMBOLS = 1 << SYMBOL_BITS
 ORDER = 3
 
@@ -130,14 +132,14 @@ def _language_bits(gram: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> np.
     return np.concatenate([short, *parts]).astype(np.float32)
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """The model from (doc_id, text, lang); rows with a null text or lang are left out. None if nothing is left.
 
     The sample is taken by a hash of doc_id; the counts are summed by Spark and their sums, bounded by the sample and
-    by the number of grams, come to the driver.
+    by the number of grams, come to the driver. Bytes that make up most of some language's text have symbols of their own.
     """
     labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return None
     names = sorted(r["lang"] for r in sizes)
@@ -147,18 +149,24 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languag
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            n = np.bincount(_folded(part.column(0))[0], minlength=256)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], ["byte", "n"])
+            data, offsets = _folded(part.column(0))
+            of = np.repeat([number[x] for x in part.column(1).to_pylist()], np.diff(offsets)).astype(np.int64)
+            both, n = np.unique((of << 8) | data, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], ["both", "n"])
 
-    found = sample.mapInArrow(histogram, "byte long, n long").groupBy("byte").sum("n").collect()
-    often = sorted((r for r in found if r[0] and r[1]), key=lambda r: (-r[1], r[0]))[: SYMBOLS - 2]
-    if not often:
+    number = {x: k for k, x in enumerate(names)}
+    found = sample.mapInArrow(histogram, "both long, n long").groupBy("both").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((len(names), 256))
+    for r in found:
+        counts[r["both"] >> 8, r["both"] & 255] = r["n"]
+    share = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).max(axis=0)
+    share[0] = 0
+    often = np.argsort(-share, kind="stable")[: min(SYMBOLS - 2, int((share > 0).sum()))]
+    if not len(often):
         return None
     symbol = np.full(256, SYMBOLS - 1, np.uint8)
     symbol[0] = 0
-    for k, r in enumerate(often):
-        symbol[r[0]] = k + 1
-    number = {x: k for k, x in enumerate(names)}
+    symbol[often] = np.arange(1, len(often) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
@@ -172,6 +180,9 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languag
     both, n = grams.column("both").to_numpy(), grams.column("n").to_numpy()
     order = np.argsort(both)
     both, n = both[order], n[order]
+    contexts = len(np.unique(both >> SYMBOL_BITS & SYMBOLS**ORDER - 1))
+    if (wanted := 4 * (SYMBOLS ** (ORDER - 1) + contexts) * SYMBOLS * len(names)) > MODEL_BYTES:
+        raise ValueError(f"{len(names)} languages and {contexts} contexts take {wanted} bytes of costs, more than MODEL_BYTES; learn fewer rows of a language")
     return tabulate(names, symbol, both >> (SYMBOL_BITS * (ORDER + 1)), both & ((1 << SYMBOL_BITS * (ORDER + 1)) - 1), n)
 
 

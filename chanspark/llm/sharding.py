@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chanspark.llm.common import cut
+from chanspark.llm.common import cut, quoted, unused
 
 SHARDS = 16
 LAWS = ("bytes", "rows", "key")
@@ -85,36 +85,38 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFra
     size is the UTF-8 bytes of the text plus 1; a null text has none, and the checksum of no bytes. Law `bytes`: a shard
     ends with the key at which its share of all bytes is passed, so sizes differ by about the largest row; `rows`: the
     same with one for each row; `key`: doc_id and the number of shards decide, and grown_shard is the shard if there
-    is one more. slot counts a shard's rows from 0. Rows with the same text and doc_id share a key and hence a shard; a null
-    doc_id is below all others; an empty table has no rows.
+    is one more. slot counts a shard's rows from 0. Rows with the same text and doc_id share a key and hence a shard, so the
+    laws hold up to such repeats; a null doc_id is below all others; an empty table has no rows. Other columns stay as
+    they are, whatever their names.
     """
     if law not in LAWS or shards < 1:
         raise ValueError(f"law is one of {LAWS}, and there is at least one shard")
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    hashed, row, group, place, shard, of, begin = (unused(docs, c) for c in ("_hash", "_id", "_group", "_place", "_shard", "_of", "_begin"))
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.withColumn("size", F.octet_length(text).cast("long") + 1).withColumn("text_crc32", F.crc32(text.cast("binary")))
-    keyed = sized.withColumn("_hash", _hash_of(text)).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    keyed = sized.withColumn(hashed, _hash_of(text)).withColumn(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     grown = F.lit(None).cast("int")
     if law == "key":
-        placed = keyed.withColumn("shard", _rendezvous(F.col("_id"), shards))
-        grown = _rendezvous(F.col("_id"), shards + 1)
+        placed = keyed.withColumn("shard", _rendezvous(F.col(row), shards))
+        grown = _rendezvous(F.col(row), shards + 1)
     else:
         weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")
-        narrow = cut(keyed.select("_hash", "_id", weight.alias("_weight")))
+        narrow = cut(keyed.select(F.col(hashed).alias("_hash"), F.col(row).alias("_id"), weight.alias("_weight")))
         total = narrow.agg(F.sum("_weight")).first()[0] or 0
         starts = [s for s in _splitters(narrow, [i * total // shards for i in range(1, shards)]) if s]
-        key = F.struct("_hash", "_id")
-        passed = [(key >= F.struct(F.lit(h).cast("long").alias("_hash"), F.lit(i).cast("long").alias("_id"))).cast("int") for h, i in starts]
+        key = F.struct(F.col(hashed).alias("h"), F.col(row).alias("i"))
+        passed = [(key >= F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i"))).cast("int") for h, i in starts]
         placed = keyed.withColumn("shard", sum(passed, F.lit(0)))
-    grouped = placed.withColumn("_group", F.floor(F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 3), 16, 10).cast("int") / (4096 // SLOT_GROUPS)).cast("int"))
+    grouped = placed.withColumn(group, F.floor(F.conv(F.substring(F.md5(F.col(row).cast("string")), 1, 3), 16, 10).cast("int") / (4096 // SLOT_GROUPS)).cast("int"))
     # At most shards x SLOT_GROUPS rows, whatever the input: where each group's slots begin.
-    sizes = grouped.groupBy("shard", "_group").agg(F.count("*").alias("_n"))
-    begins = sizes.select(F.col("shard").alias("_shard"), F.col("_group").alias("_of"), (F.sum("_n").over(W.partitionBy("shard").orderBy("_group")) - F.col("_n")).alias("_begin"))
-    numbered = grouped.withColumn("_place", F.row_number().over(W.partitionBy("shard", "_group").orderBy("_id", "_hash")))
-    joined = numbered.join(F.broadcast(begins), (F.col("shard") == F.col("_shard")) & (F.col("_group") == F.col("_of")))
-    out = joined.withColumn("slot", F.col("_begin") + F.col("_place") - 1).withColumn("law", F.lit(law)).withColumn("grown_shard", grown)
-    return out.select(*docs.columns, *made)
+    sizes = grouped.groupBy("shard", group).agg(F.count("*").alias("_n"))
+    begins = sizes.select(F.col("shard").alias(shard), F.col(group).alias(of), (F.sum("_n").over(W.partitionBy("shard").orderBy(group)) - F.col("_n")).alias(begin))
+    numbered = grouped.withColumn(place, F.row_number().over(W.partitionBy("shard", group).orderBy(row, hashed)))
+    joined = numbered.join(F.broadcast(begins), (F.col("shard") == F.col(shard)) & (F.col(group) == F.col(of)))
+    out = joined.withColumn("slot", F.col(begin) + F.col(place) - 1).withColumn("law", F.lit(law)).withColumn("grown_shard", grown)
+    return out.select(*map(quoted, docs.columns), *made)
 
 
 def summary(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFrame:

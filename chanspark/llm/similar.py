@@ -212,7 +212,7 @@ def _verified(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, shingle: i
             yield pa.RecordBatch.from_arrays([pa.array(digest), _lists(own.view(np.int64), size)], ["digest", "shingles"])
 
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi").select("text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi").select("text")
     sets = cut(texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"]))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return _with_sides(pairs.select("a", "b"), sets, "shingles").where(_enough(common, F.size("shingles_a"), F.size("shingles_b"), similarity)).select("a", "b")

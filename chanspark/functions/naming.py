@@ -60,3 +60,8 @@ def feature_channel(index: Column) -> Column:
 
 def feature_name(index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, DESCRIPTORS)), (index % len(DESCRIPTORS) + 1).cast("int"))
+
+
+def group_id(source: Column, *otherwise: Column) -> Column:
+    """The source file, or where it is null or empty the other parts by `|`."""
+    return F.coalesce(F.nullif(source, F.lit("")), F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in otherwise]))

@@ -75,19 +75,52 @@ def average_precision(df: DataFrame, positive: Column, score: str) -> DataFrame:
     return sums.select("positives", F.when(F.col("positives") > 0, F.col("top") / F.col("positives")).otherwise(float("nan")).alias("average_precision"))
 
 
+def aligned(probabilities: Column, have: list, want: list) -> Column:
+    """Probabilities of the classes `have` in the order `want`: a class that is missing has 0, and of all zeros each has its equal share."""
+    own = F.array(*[F.coalesce(probabilities[have.index(c)].cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in want])
+    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(own, lambda x: F.when(total > 0, x / total).otherwise(1.0 / len(want)))
+
+
+def one_vs_rest(df: DataFrame, true: str, probabilities: str, classes: list) -> DataFrame:
+    """(class, support, auc, average_precision) of each class against the others by its probability; NaN where undefined."""
+    out = None
+    for k, c in enumerate(classes):
+        own = df.select((F.col(true) == F.lit(c)).alias("_positive"), F.col(probabilities)[k].alias("_score"))
+        row = auc(own, F.col("_positive"), "_score").crossJoin(average_precision(own, F.col("_positive"), "_score").drop("positives"))  # one row each
+        row = row.select(F.lit(c).alias("class"), F.col("positives").alias("support"), "auc", "average_precision")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def macro_and_weighted(classes: DataFrame, metrics: list[str]) -> DataFrame:
+    """(every metric's _macro and _weighted) over rows of classes with support; NaN if it is undefined for a class."""
+    each = [e for m in metrics for e in (F.avg(m).alias(f"{m}_macro"), (F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(f"{m}_weighted"))]
+    return classes.agg(*each)
+
+
+def predicted_counts(df: DataFrame, keys: list[str], true: str, predicted: str, classes: list) -> DataFrame:
+    """(keys, windows, correct, accuracy, predicted_<class>..., majority): what a file's windows were taken for; ties go to the first class."""
+    n = {c: F.count_if(F.col(predicted) == F.lit(c)) for c in classes}
+    found = df.groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.col(true) == F.col(predicted)).alias("correct"), *[x.alias(f"predicted_{c}") for c, x in n.items()])
+    most = F.greatest(*[F.col(f"predicted_{c}") for c in classes]) if len(classes) > 1 else F.col(f"predicted_{classes[0]}")
+    majority = F.coalesce(*[F.when(F.col(f"predicted_{c}") == most, F.lit(c)) for c in classes])
+    return found.withColumn("accuracy", F.col("correct") / F.col("windows")).withColumn("majority", majority)
+
+
 def accuracy_by(df: DataFrame, true: str, predicted: str, *keys: str) -> DataFrame:
     """(keys, support, correct, accuracy)."""
     n = df.groupBy(*keys).agg(F.count("*").alias("support"), F.count_if(F.col(true) == F.col(predicted)).alias("correct"))
     return n.withColumn("accuracy", F.col("correct") / F.col("support"))
 
 
-def summarise(runs: DataFrame, keys: list[str], metrics: list[str], ddof: int = 0) -> DataFrame:
-    """(keys, every metric's _mean and then _std). NaN counts as missing, as do nulls; a sample deviation of one run is 0."""
+def summarise(runs: DataFrame, keys: list[str], metrics: list[str], ddof: int = 0, extremes: bool = False) -> DataFrame:
+    """(keys, every metric's _mean and then _std, with extremes _min and _max too). NaN counts as missing, as do nulls; a sample deviation of one run is 0."""
     def clean(m: str) -> Column:
         return F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
 
     std = (lambda m: F.stddev_pop(clean(m))) if ddof == 0 else (lambda m: F.coalesce(F.stddev_samp(clean(m)), F.lit(0.0)))
-    return runs.groupBy(*keys).agg(*[e for m in metrics for e in (F.avg(clean(m)).alias(f"{m}_mean"), std(m).alias(f"{m}_std"))])
+    return runs.groupBy(*keys).agg(*[e for m in metrics for e in (F.avg(clean(m)).alias(f"{m}_mean"), std(m).alias(f"{m}_std"), *([F.min(clean(m)).alias(f"{m}_min"), F.max(clean(m)).alias(f"{m}_max")] if extremes else []))])
 
 
 def by_policy(candidates: DataFrame, main: str, within: float, then: list[Column], rest: list[Column], tie: str) -> DataFrame:

@@ -123,12 +123,3 @@ def smoothing(df: DataFrame, keys: list[str], order: list[str], value: str, weig
 
 def in_collection(df: DataFrame, seconds: str, start: float, end: float) -> DataFrame:
     return df.where(F.col(seconds).between(start, end))
-
-
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
-    """The place of each row in its stream, from 0."""
-    return df.withColumn(out, F.row_number().over(_over(keys, order)) - 1)
-
-
-def finite(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))

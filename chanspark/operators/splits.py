@@ -26,7 +26,7 @@ def stratified(groups: DataFrame, strata: list[str], group: str, share: float, o
 def leave_one_out(rows: DataFrame, field: str) -> DataFrame:
     """(held_out, train, test): rows of each split in which one value of field is held out; null is a value."""
     n = rows.groupBy(field).agg(F.count("*").alias("test"))
-    return n.select(F.col(field).alias("held_out"), (F.sum("test").over(Window.partitionBy()) - F.col("test")).alias("train"), "test")
+    return n.select(F.col(field).alias("held_out"), (rows.agg(F.count("*")).scalar() - F.col("test")).alias("train"), "test")
 
 
 def hold_out(rows: DataFrame, field: str, value) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +43,7 @@ def mixed_groups(rows: DataFrame, group: str, label: str) -> DataFrame:
 def quota(rows: DataFrame, group: str, most: int, order: Column) -> DataFrame:
     """At most about `most` rows, of each group its share (at least one), the first in order: a sampling operator."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    shares = sizes.withColumn("_q", F.greatest(F.lit(1), F.bround(F.lit(most) * F.col("_n") / F.sum("_n").over(Window.partitionBy())).cast("int"))).select(F.col(group).alias("_g"), "_q")
+    every = rows.agg(F.count("*")).scalar()
+    shares = sizes.withColumn("_q", F.greatest(F.lit(1), F.bround(F.lit(most) * F.col("_n") / every).cast("int"))).select(F.col(group).alias("_g"), "_q")
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     return ranked.join(shares, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_r") <= F.col("_q")).drop("_g", "_q", "_r")

@@ -51,7 +51,7 @@ def feature_vectors(described: DataFrame, keys: list[str], channel: str | None =
         others = [k for k in keys if k != channel]
         listed = described.groupBy(*others, "window_index").agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), own.alias("f")))).alias("all"))
         wide, keys = listed.select(*others, "window_index", F.flatten(F.transform("all", lambda r: r["f"])).alias("features")), others
-    # A running number in the order of the keys: one range exchange to rank, not one task.
+    # A number that follows from the keys alone, so that no order of all windows is needed; it tells apart, it doesn't count.
     return wide.withColumn("sample_id", F.xxhash64(*keys, "window_index"))
 
 

@@ -29,9 +29,9 @@ def left_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("packets"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
-@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def anti_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -46,9 +46,9 @@ def union_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.unionByName(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("parent")), allowMissingColumns=True)
 
 
-@register("SELECT n_nationkey AS key FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+@register("SELECT n_nationkey AS key FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")
 def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    present = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey")
+    present = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select("c_nationkey")
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key")).exceptAll(present.distinct())
 
 

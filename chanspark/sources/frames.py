@@ -68,7 +68,7 @@ class Parser:
         data, at, self.events = self.pending + chunk, 0, []
         while len(data) - at >= len(MAGIC):
             found = data.find(MAGIC, at)
-            # The last three bytes may begin a magic word that the next chunk ends.
+            # What could still become a magic word with the next chunk is kept.
             start = found if found >= 0 else len(data) - len(MAGIC) + 1
             self.bytes_discarded += start - at
             at = start
@@ -121,9 +121,8 @@ EVENTS = "device string, type string, sequence long, timestamp_us long, rssi int
 EVENT_COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
 
 
-def _frame_of(device: str, events: list[dict], counters: dict[str, int]) -> pd.DataFrame:
-    last = {"device": device, "type": "counters", "counters": counters}
-    out = pd.DataFrame([{"device": device} | e for e in events] + [last]).reindex(columns=EVENT_COLUMNS).astype(object)
+def _frame_of(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows).reindex(columns=EVENT_COLUMNS).astype(object)
     return out.where(out.notna(), None)
 
 
@@ -137,15 +136,17 @@ def parse(chunks: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         device, parser = None, Parser()
         for piece in frames:
+            rows = []
             for name, data in zip(piece["device"], piece["data"], strict=True):
                 if name != device:
                     if device is not None:
-                        yield _frame_of(device, [], parser.counters())
+                        rows.append({"device": device, "type": "counters", "counters": parser.counters()})
                     device, parser = name, Parser()
-                if events := parser.feed(bytes(data)):
-                    yield _frame_of(device, events, {}).iloc[:-1]
+                rows += [{"device": device} | e for e in parser.feed(bytes(data))]
+            if rows:
+                yield _frame_of(rows)
         if device is not None:
-            yield _frame_of(device, [], parser.counters())
+            yield _frame_of([{"device": device, "type": "counters", "counters": parser.counters()}])
 
     ordered = chunks.where(F.col("device").isNotNull()).select("device", "chunk_index", F.coalesce("data", F.lit(b"")).alias("data"))
     return ordered.repartition("device").sortWithinPartitions("device", "chunk_index").mapInPandas(run, EVENTS)

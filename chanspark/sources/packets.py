@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -69,21 +70,36 @@ def packet_bytes(rows: list[dict]) -> bytes:
 
 
 def decode(files: DataFrame, malformed: str = "fail") -> DataFrame:
-    """Packets of (path, content). malformed: fail, or drop, which leaves the files that can't be read out whole."""
+    """Packets of (path, content). malformed: fail; drop, which leaves the files that can't be read out whole; report, which has a row (path, error) for each of them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows = list(packet_rows(content))
-                except ValueError as e:
-                    if malformed == "drop":
-                        continue
-                    raise ValueError(f"{path}: {e}") from e
-                for start in range(0, len(rows), 4096):
-                    yield pd.DataFrame(rows[start : start + 4096]).assign(path=path)[COLUMNS]
-
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+                error = None
+                if malformed != "fail":  # whether a file is whole is known at its end only; its packets are not held until then
+                    try:
+                        for _ in packet_rows(content):
+                            pass
+                    except ValueError as e:
+                        error = str(e)
+                if error is None:
+                    yield from shown(path, content)
+                elif malformed == "report":
+                    yield pd.DataFrame([dict.fromkeys(COLUMNS) | {"path": path, "error": error}])
+
+    def shown(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+        rows = packet_rows(content)
+        while True:
+            try:
+                part = list(islice(rows, 4096))
+            except ValueError as e:
+                raise ValueError(f"{path}: {e}") from e
+            if not part:
+                return
+            frame = pd.DataFrame(part).assign(path=path)[COLUMNS]
+            yield frame.assign(error=None) if malformed == "report" else frame
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA + ", error string" * (malformed == "report"))
 
 
 def read(spark: SparkSession, folder: str, labels: list[str] | None = None, quadrants: list[str] | None = None, malformed: str = "fail") -> DataFrame:

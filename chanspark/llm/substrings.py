@@ -283,7 +283,9 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = heads.join(copied.select(F.col("id").alias("copy"), F.col("of").alias("copy_of")), (F.col("id") == F.col("copy")) & (F.col("md5") == F.col("copy_of")), "left_anti").select(F.col("id").alias("own")).distinct()
 
     counted = _anchors(texts, window, digests=True).groupBy("anchor").agg(F.min("digest").alias("one"), F.max("digest").alias("other"), F.min("id").alias("owner"), F.count("*").alias("n"))
-    several = counted.where("one <> other").select(F.col("anchor").alias("a"), "owner", "n")
+    several = cut(counted.where("one <> other").select(F.col("anchor").alias("a"), "owner", "n"))
+    del counted
+    release(spark)
     sizes = several.groupBy(F.col("owner").alias("_owner")).agg(F.sum("n").alias("met"), F.count("*").alias("anchors"))
     blocks = sizes.select("_owner", F.ceil(F.col("anchors") / BLOCK).alias("blocks"), F.col("met") / F.greatest(F.lit(SERVED), COPIES * F.col("anchors")))
     blocks = blocks.toDF("_owner", "blocks", "copies").select("_owner", "blocks", F.ceil("copies").cast("int").alias("salts"))
@@ -291,7 +293,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = placed.select("a", "owner", F.pmod(F.col("a"), F.col("blocks")).cast("int").alias("block"), "salts")
     marks = _anchors(texts, window, digests=False).join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "owner", "block", "salts")
     lists = cut(marks.join(own, F.col("id") == F.col("own"), "left_semi").groupBy("id").agg(F.collect_set(F.struct("anchor", "owner", "block", "salts")).alias("shared")))
-    del counted, shared, marks
+    del shared, marks
     release(spark)
 
     marked = texts.join(lists.withColumnRenamed("id", "marked"), F.col("id") == F.col("marked")).select("id", "text", "shared")

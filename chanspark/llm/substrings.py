@@ -228,14 +228,15 @@ def _streamed(passages: DataFrame, window: int, parts: int) -> DataFrame:
     """(id, digest, start, stop, h, h2): spans of words that are in the owner's text (h null), and windows that aren't (with their hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, None
+        shard, automaton, names = None, None, ["id", "digest", "start", "stop", "h", "h2"]
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             lists = batch.column(7)
             upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             flat = lists.flatten().to_numpy()
             words = flat.tolist()
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            missing: list[tuple] = []  # id, digest, start, place of the passage, and its windows that the owner lacks
             for k, (*own, reference, doc, digest, start) in enumerate(zip(*[c.tolist() for c in columns], strict=True)):
                 a, b = int(upto[k]), int(upto[k + 1])
                 if own != shard:
@@ -245,14 +246,16 @@ def _streamed(passages: DataFrame, window: int, parts: int) -> DataFrame:
                     continue
                 full = np.array(automaton.matches(words[a:b])[window - 1 :]) >= window
                 for first, last in zip(*[x.tolist() for x in _runs(np.flatnonzero(full))], strict=True):
-                    for c, v in zip(out, (doc, digest, start + first, start + last + window, None, None), strict=True):
+                    for c, v in zip(out, (doc, digest, start + first, start + last + window), strict=True):
                         c.append(v)
-                missed = np.flatnonzero(~full)
-                if n := len(missed):
-                    hashes = [h.tolist() for h in _window_hashes(flat[a:b].view(np.uint64), missed, window)]
-                    for c, v in zip(out, ([doc] * n, [digest] * n, (start + missed).tolist(), (start + missed + window).tolist(), *hashes), strict=True):
-                        c.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "digest", "start", "stop", "h", "h2"])
+                if not full.all():
+                    missing.append((doc, digest, start, a, np.flatnonzero(~full)))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out], *[pa.nulls(len(out[0]), pa.int64())] * 2], names)
+            if missing:
+                windows = np.concatenate([m[4] for m in missing])
+                doc, digest, start, place = (np.repeat(np.array([m[k] for m in missing], np.int64), [len(m[4]) for m in missing]) for k in range(4))
+                hashes = _window_hashes(flat.view(np.uint64), place + windows, window)  # of all passages at once
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, digest, start + windows, start + windows + window, *hashes)], names)
 
     dealt = passages.repartition(parts, "owner", "block", "salt").sortWithinPartitions("owner", "block", "salt", F.col("reference").desc())
     return dealt.mapInArrow(run, "id long, digest long, start long, stop long, h long, h2 long")

@@ -169,12 +169,13 @@ ORACLE_MATCHES = f"""
 WITH dv AS (SELECT doc_id, row_number() OVER () AS doc_row, string_split({_oracle_text("text")}, ' ') AS v FROM documents WHERE text IS NOT NULL),
 bv AS (SELECT *, least({WINDOW}, len(v)) AS size FROM (SELECT item_id, row_number() OVER () AS item_row, string_split({_oracle_text("text")}, ' ') AS v FROM benchmark WHERE text IS NOT NULL) WHERE v <> ['']),
 sizes AS (SELECT DISTINCT size FROM bv),
-dp AS (SELECT doc_id, doc_row, size, v, list_transform(v, lambda x: regexp_replace(x, '([{NUMBER}-{UNIT}]).+', '\\1')) AS t, unnest(range(1, len(v) - size + 2)) AS pos FROM dv CROSS JOIN sizes WHERE v <> ['']),
+dp AS (SELECT doc_id, doc_row, size, v, string_split(regexp_replace(array_to_string(v, ' '), '([{NUMBER}-{UNIT}])[^ ]+', '\\1', 'g'), ' ') AS t, unnest(range(1, len(v) - size + 2)) AS pos FROM dv CROSS JOIN sizes WHERE v <> ['']),
 bp AS (SELECT item_id, item_row, size, v, list_transform(v, lambda x: regexp_replace(x, '([{NUMBER}-{UNIT}]).+', '\\1')) AS t, unnest(range(1, len(v) - size + 2)) AS pos FROM bv),
-dw AS (SELECT doc_id, doc_row, size, pos, array_to_string(t[pos:pos + size - 1], ' ') AS w, list_filter(v[pos:pos + size - 1], lambda x: regexp_matches(x, '^[{NUMBER}-{UNIT}]')) AS slots FROM dp),
+dt AS (SELECT doc_id, doc_row, size, v, pos, array_to_string(t[pos:pos + size - 1], ' ') AS w FROM dp),
 bw AS (SELECT item_id, item_row, size, pos, array_to_string(t[pos:pos + size - 1], ' ') AS w, list_filter(v[pos:pos + size - 1], lambda x: regexp_matches(x, '^[{NUMBER}-{UNIT}]')) AS slots FROM bp),
 bl AS (SELECT *, size - len(slots) >= least({LITERALS}, size) AS free FROM bw),
 needed AS (SELECT item_row, least(count(*), {FOUND}) AS needed, CASE WHEN count(*) FILTER (free) > 0 THEN least(count(*) FILTER (free), {FOUND}) END AS needed_free FROM bl GROUP BY item_row),
+dw AS (SELECT doc_id, doc_row, size, pos, w, list_filter(v[pos:pos + size - 1], lambda x: regexp_matches(x, '^[{NUMBER}-{UNIT}]')) AS slots FROM dt WHERE (w, size) IN (SELECT (w, size) FROM bl)),
 met AS (SELECT doc_id, doc_row, item_id, item_row, b.pos AS place, d.pos - b.pos AS shift, free, b.slots = d.slots AS same, list_zip(b.slots, d.slots) AS pairs FROM dw d JOIN bl b USING (w, size) WHERE free OR b.slots = d.slots),
 flat AS (SELECT doc_row, item_row, shift, same, unnest(pairs) AS p FROM met),
 slots AS (SELECT doc_row, item_row, shift, count(DISTINCT p) = count(DISTINCT p[1]) AS agree, count(DISTINCT p) AS n, count(DISTINCT p) FILTER (same) AS n_same FROM flat GROUP BY ALL),

@@ -17,7 +17,7 @@ from chanspark.llm.common import cut, unused
 
 #: Words of a window, the least number of them that aren't placeholders (with fewer its values must be equal), and windows of an item that must be found.
 WINDOW, LITERALS, FOUND = 8, 5, 6
-#: Windows of items up to this number are broadcast (28 bytes or so each); more are joined by exchange.
+#: Windows of items up to this number are broadcast (28 bytes or so each, and the words of those with few literals); more are joined by exchange.
 BROADCAST_WINDOWS = 1_000_000
 
 #: Marks of numbers, names and units and of a sign within a number (private characters).
@@ -45,6 +45,14 @@ def _one_of(words: str) -> str:
     return words.replace(" ", "|")
 
 
+def _by_letter(words: str) -> str:
+    """A pattern for any of the words that are whole; it looks at the first letter, and then only at words that begin with it."""
+    rest: dict[str, list[str]] = {}
+    for w in words.split():
+        rest.setdefault(w[0], []).append(w[1:])
+    return f"(?=[{''.join(sorted(rest))}])({'|'.join(f'{a}(?:{_one_of(' '.join(r))})' for a, r in sorted(rest.items()))})"
+
+
 def _valued(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys..., v): lower-case words by single spaces, in which a placeholder is followed by the value it stands for.
 
@@ -59,10 +67,10 @@ def _valued(texts: DataFrame, *keys: str) -> DataFrame:
     step = step.select(*keys, F.regexp_replace("v", "(^|[^\\p{L}\\p{N}])(\\p{Lu}\\p{Ll})", f"$1{NAME}$2").alias("v"))
     step = step.select(*keys, F.regexp_replace(F.lower("v"), f"[^\\p{{L}}\\p{{N}}{NUMBER}-{WITHIN}]+", "  ").alias("v"))
     v = F.concat(F.lit(" "), F.col("v"), F.lit(" "))
-    v = F.regexp_replace(v, f" {NAME}?({_one_of(NUMBER_WORDS)}) ", f" {NUMBER}$1 ")
-    v = F.regexp_replace(v, f" {NAME}({_one_of(NO_NAMES)}) ", " $1 ")
+    v = F.regexp_replace(v, f" {NAME}?{_by_letter(NUMBER_WORDS)} ", f" {NUMBER}$1 ")
+    v = F.regexp_replace(v, f" {NAME}{_by_letter(NO_NAMES)} ", " $1 ")
     step = step.select(*keys, v.alias("v"))
-    units = F.regexp_replace("v", f"({NUMBER}[^ ]+)  ({_one_of(UNITS)}) ", f"$1  {UNIT}$2 ")
+    units = F.regexp_replace("v", f"({NUMBER}[^ ]+)  {_by_letter(UNITS)} ", f"$1  {UNIT}$2 ")
     step = step.select(*keys, F.when(F.contains("v", F.lit(NUMBER)), units).otherwise(F.col("v")).alias("v"))
     return step.select(*keys, F.trim(F.replace("v", F.lit("  "), F.lit(" "))).alias("v"))
 
@@ -76,10 +84,12 @@ def _windows(texts: DataFrame, keys: tuple[str, ...], sizes: list[int]) -> DataF
     plain = F.when(F.col("has"), F.regexp_replace("v", f"({SLOT})[^ ]+", "$1")).otherwise(F.col("v"))
     size = F.explode(F.array(*map(F.lit, sizes))) if len(sizes) > 1 else F.lit(sizes[0])
     words = marked.select(*keys, F.when(F.col("has"), F.split("v", " ")).alias("values"), F.split(plain, " ").alias("t"), size.alias("size"))
-    places = F.sequence(F.lit(1), F.greatest(F.size("t") - F.col("size") + 1, F.lit(1)))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.col("size"), F.slice("t", i, F.col("size"))))
-    some = F.when((F.size("t") >= F.col("size")) & (F.element_at("t", 1) != ""), hashes)
-    return words.select(*keys, "size", "values", F.posexplode(some).alias("at", "h")).withColumn("at", F.col("at") + 1)
+    whole = (F.size("t") >= F.col("size")) & (F.element_at("t", 1) != "")
+    hashed = words.select(*keys, "size", "values", F.when(whole, F.transform("t", lambda w: F.xxhash64(w))).alias("t"))
+    # Rows of windows are made within generated code, up to the join: none of them gets a copy of its document's words.
+    placed = hashed.select(*keys, "size", "values", "t", F.explode(F.when(F.col("t").isNotNull(), F.sequence(F.lit(1), F.size("t") - F.col("size") + 1))).alias("at"))
+    own = {s: F.xxhash64(F.lit(s), *[F.get("t", F.col("at") + (k - 1)) for k in range(s)]) for s in sizes}
+    return placed.select(*keys, "size", "at", F.coalesce(*[F.when(F.col("size") == s, h) for s, h in own.items()]).alias("h"), "values")
 
 
 def _slots(values: str, at: str, size: str) -> Column:
@@ -114,7 +124,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     windows, sizes = _items(benchmark, window)
     windows = windows.withColumn("slots", _slots("values", "at", "size"))
     literal = F.col("size") - F.coalesce(F.size("slots"), F.lit(0)) >= F.least(F.lit(literals), F.col("size"))
-    items = cut(windows.select("item_id", "item_row", literal.alias("free"), "size", F.col("at").alias("item_at"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots")))
+    exact = F.when(~literal, F.slice("values", F.col("at"), F.col("size")))
+    items = cut(windows.select("item_id", "item_row", literal.alias("free"), "size", F.col("at").alias("item_at"), F.col("h").alias("item_h"), F.col("slots").alias("item_slots"), exact.alias("item_words")))
     n_free = F.count_if("free")
     of = (F.least(F.count("*"), F.lit(least)).alias("needed"), F.when(n_free > 0, F.least(n_free, F.lit(least))).alias("needed_free"))
     needed = items.groupBy(F.col("item_row").alias("_item")).agg(*of)
@@ -123,7 +134,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
         side = F.broadcast(side)
     own = docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), "text").where(F.col("text").isNotNull())
     met = _windows(own, ("doc_id", "doc_row"), sizes).join(side, "h").withColumn("slots", _slots("values", "at", "size"))
-    met = met.where(F.col("free") | F.col("slots").eqNullSafe(F.col("item_slots")))
+    # Spark makes this a condition of the join; a comparison of slots would take it, and the rows of windows, out of generated code.
+    met = met.where(F.col("free") | F.slice("values", F.col("at"), F.col("size")).eqNullSafe(F.col("item_words")))
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     # Overlapping windows repeat their pairs; sets keep what a diagonal holds within the size of its item.
     none = F.array().cast("array<struct<i:string,d:string>>")

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from chanspark.llm import chunks, linededup, pieces, ppm, sharding, similar, simhash, substrings, templates, tokenfiles, warc
+from chanspark.llm import audit, chunks, linededup, middle, pieces, ppm, sharding, similar, simhash, substrings, suffix_dedup, templates, tokenfiles, warc
 from test_operators import DATA
 
 LLM = Path(linededup.__file__).parent
@@ -47,6 +47,9 @@ OPERATORS = {
     "sharding.bytes": lambda d: sharding.assign(d, 4, "bytes"),
     "sharding.rows": lambda d: sharding.assign(d, 4, "rows"),
     "sharding.key": lambda d: sharding.assign(d, 4, "key"),
+    "audit.audit": lambda d: audit.audit(d, d.sparkSession.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")),
+    "middle.fill_in_middle": middle.fill_in_middle,
+    "suffix_dedup.dedup": lambda d: suffix_dedup.dedup(d, window=20, anchor=8),
 } | {f"stage {name}": lambda d, f=f: f(d.sparkSession, d, DATA) for name, f in corpus_pipeline.STAGES}
 #: Operators that keep the columns that they are given.
 WIDE = [n for n in OPERATORS if re.match("pieces.[ed]|ppm.[pk]|templates.d|linededup|sharding|stage|.*keep_one", n)]

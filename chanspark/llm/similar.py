@@ -35,8 +35,9 @@ BROADCAST_IDS = 500_000
 
 #: Least longs of a bitmap of parities, which has two bits a shingle at least; what rounding may take from a size.
 BITMAP, EPS = 16, 1e-9
-#: Pairs for each group, on average, up to which all are compared at once; beyond, each group's best pair goes first.
-AT_ONCE = 4
+#: Pairs for each group, on average, up to which all are compared at once; beyond, each group's best pair goes first, then
+#: so many times as many in each round, so that rounds grow with the logarithm of a group's pairs.
+AT_ONCE, MORE = 4, 8
 
 
 def _sets(column: pa.Array, shingle: int, last: np.ndarray):
@@ -231,20 +232,21 @@ def _prefixes(sketched: DataFrame) -> DataFrame:
 
 def _settled(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, known: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """known (a, b), whose components are roots, and as many of the similar ones among pairs as join the groups that all of them join."""
-    left = cut(_close(pairs, sketched, similarity))
+    left, quota = cut(_close(pairs, sketched, similarity)), 1
     while True:
         for k in "ab":
             left = left.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
         left = cut(left.where("root_a <> root_b"))
-        best = cut(left.groupBy(F.greatest("root_a", "root_b").alias("group")).agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("p.a", "p.b"))
-        n, groups = left.count(), best.count()
+        group = F.greatest("root_a", "root_b").alias("group")
+        best = cut(left.groupBy(group, F.pmod(F.xxhash64("a", "b"), F.lit(quota)).alias("_of")).agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("group", "p.a", "p.b"))
+        n, groups = left.count(), best.select("group").distinct().count()
         if not n:
             return known
-        tried = left.select("a", "b") if n <= AT_ONCE * groups else best
+        tried = (left if n <= AT_ONCE * groups else best).select("a", "b")
         known = cut(known.union(_verified(docs, sketched, tried, shingle, similarity)))
         if n <= AT_ONCE * groups:
             return known
-        left, roots = left.select("a", "b", "unlike").join(tried, ["a", "b"], "left_anti"), components(known)
+        left, roots, quota = left.select("a", "b", "unlike").join(tried, ["a", "b"], "left_anti"), components(known), quota * MORE
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

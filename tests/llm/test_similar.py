@@ -65,6 +65,32 @@ def test_groups_of_similar_texts(spark, few, monkeypatch):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
+def test_rounds_grow_slowly(spark, monkeypatch):
+    """A text that meets many others just below the similarity is held against them all in few rounds."""
+    monkeypatch.setattr(similar, "AT_ONCE", 0)
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = [" ".join(base)]
+    for k in range(120):  # each shares its first half with the base, so all meet in prefixes, and none is similar
+        rows.append(" ".join(base[:50] + [f"v{k}x{i}" for i in range(50)]))
+    for k in range(10):
+        own = list(base)
+        own[draw.randrange(100)] = f"u{k}"
+        rows.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    each = similar.cut(similar._sketched(docs, 5, 0.3))
+    pairs = each.where("prefix IS NOT NULL").select("digest").distinct()
+    every = similar.cut(pairs.toDF("a").join(pairs.toDF("b"), similar.F.col("a") < similar.F.col("b")))
+    calls, verified = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda *a: calls.append(1) or verified(*a))
+    monkeypatch.setattr(similar, "_close", lambda p, *_: p.withColumn("unlike", similar.F.lit(0)))
+    empty = every.limit(0)
+    known = similar._settled(docs, each, every, empty, similar.components(empty), 5, 0.8)
+    sets = {r["doc_id"]: _shingles(r["text"]) for r in docs.collect()}
+    alike = [a for a in sets if any(a != b and _near(sets[a], sets[b]) for b in sets)]
+    assert similar.components(known).count() == len(alike) and len(calls) <= 8 < every.count() / 100
+
+
 def test_pipeline_stage_keeps_one_of_similar_texts(spark):
     """Over the given documents no two that stay are similar, and what goes has a chain to the one that stays."""
     import corpus_pipeline

@@ -6,12 +6,19 @@ is one partition of its window, as its order demands: keys should be streams or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What makes the median absolute deviation a standard deviation; and the range of sequence numbers.
 MAD_SCALE = 1.4826
 SEQUENCES = 1 << 32
+#: Rows that a task holds before it filters them.
+MOST = 20_000
 
 
 def _over(keys: list[str], order: list[str]):
@@ -38,12 +45,27 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn(out, sum(terms[1:], terms[0]) / len(terms))
 
 
-def padded(df: DataFrame, keys: list[str], order: list[str], n: int, pad: str = "_pad") -> DataFrame:
-    """df with n copies of each stream's first and last row before and after them, in order of column pad (0: the row itself)."""
-    w = _over(keys, order)
-    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
-    marked = df.withColumn("_from", F.when(first, F.lit(-n)).otherwise(F.lit(0))).withColumn("_to", F.when(last, F.lit(n)).otherwise(F.lit(0)))
-    return marked.withColumn(pad, F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+def _medians(x: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, truncate: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The local median of each value, and the median distance from it; windows don't leave the stream, whose rows are first to last.
+
+    Outside of it the outermost row repeats, or nothing counts (truncate). Missing values are NaN and don't count.
+    """
+    at = np.arange(len(x))[:, None] + np.arange(-radius, radius + 1)
+    out = (at < first[:, None]) | (at > last[:, None])
+    at = np.clip(at, first[:, None], last[:, None])
+    whole = not np.isnan(x).any()
+
+    def middle(near: np.ndarray) -> np.ndarray:
+        if truncate:
+            near = np.where(out, np.nan, near)
+        elif whole:
+            return np.median(near, axis=1)
+        ordered = np.sort(near, axis=1)  # NaN goes last
+        n, row = near.shape[1] - np.isnan(near).sum(axis=1), np.arange(len(near))
+        return np.where(n > 0, (ordered[row, np.maximum(n - 1, 0) // 2] + ordered[row, np.minimum(n // 2, near.shape[1] - 1)]) / 2, np.nan)
+
+    median = middle(x[at])
+    return median, middle(np.abs(x[at] - median[:, None]) if truncate else np.abs(x - median)[at])
 
 
 def hampel(df: DataFrame, keys: list[str], order: list[str], value: str, radius: int = 5, sigmas: float = 3.0, edges: str = "nearest", out: str = "clean") -> DataFrame:
@@ -51,25 +73,59 @@ def hampel(df: DataFrame, keys: list[str], order: list[str], value: str, radius:
 
     edges nearest: the outermost rows repeat, and a row's deviation is from its own local median; the local median of
     those deviations is the scale. edges truncate: windows get shorter at the edges, and deviations within a window are
-    from the window's median. A scale of 0 replaces nothing; streams of fewer than 3 rows stay as they are.
+    from the window's median. A scale of 0 replaces nothing; in nearest, streams of fewer than 3 rows stay as they are.
+
+    Rows are exchanged once by stream, sorted, and read as a stream: a task holds some batches, and of a stream that goes
+    on the last rows that windows can still reach.
     """
-    w = _over(keys, order)
-    if edges == "truncate":
-        near = F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-radius, radius))
-        middle = lambda a: (F.element_at(F.array_sort(a), F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(F.array_sort(a), F.floor(F.size(a) / 2).cast("int") + 1)) / 2
-        step = df.withColumn("_near", near).withColumn("_median", middle(F.col("_near")))
-        step = step.withColumn("_mad", middle(F.transform("_near", lambda x: F.abs(x - F.col("_median")))))
-    else:
-        wide = _over(keys, [*order, "_pad"])
-        frame = wide.rowsBetween(-radius, radius)
-        step = padded(df, keys, order, radius).withColumn("_median", F.percentile(value, F.lit(0.5)).over(frame))
-        step = step.where(F.col("_pad") == 0).drop("_pad").withColumn("_deviation", F.abs(F.col(value) - F.col("_median")))
-        step = padded(step, keys, order, radius).withColumn("_mad", F.percentile("_deviation", F.lit(0.5)).over(frame)).where(F.col("_pad") == 0).drop("_pad", "_deviation")
-    rows = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    outlier = (F.col("_mad") > 0) & (F.abs(F.col(value) - F.col("_median")) > sigmas * MAD_SCALE * F.col("_mad"))
-    if edges != "truncate":
-        outlier = outlier & (rows >= 3)
-    return step.withColumn(out, F.when(outlier, F.col("_median")).otherwise(F.col(value).cast("double"))).drop("_near", "_median", "_mad")
+    truncate, names = edges == "truncate", df.columns
+    stream, reach = "_stream", 2 * radius
+    marked = df.withColumn(out, F.col(value).cast("double")).withColumn(stream, F.xxhash64(*keys))
+    kept = [c for c in marked.columns if c != stream]
+
+    def judged(table: pa.Table, before: int, after: int) -> pa.Table:
+        """table without the first `before` rows, which were given already, and the last `after` ones, which are to come."""
+        x = table.column(out).to_numpy(zero_copy_only=False).astype(float)
+        of = table.column(stream).to_numpy()
+        begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        size = np.diff(np.append(begins, len(of)))
+        first = np.repeat(begins, size)
+        clean = x.copy()
+        for low in range(0, len(x), MOST):  # windows of so many rows at once
+            part = slice(max(0, low - reach), low + MOST + reach)
+            base = part.start
+            median, scale = _medians(x[part], np.maximum(first[part] - base, 0), np.minimum((first + np.repeat(size, size) - 1)[part] - base, len(x[part]) - 1), radius, truncate)
+            with np.errstate(invalid="ignore"):
+                off = (scale > 0) & (np.abs(x[part] - median) > sigmas * MAD_SCALE * scale)
+            if not truncate:
+                off &= np.repeat(size, size)[part] >= 3
+            own = slice(low - base, low - base + MOST)
+            clean[low : low + MOST] = np.where(off, median, x[part])[own]
+        clean = pa.array(clean, mask=np.isnan(clean))
+        return table.set_column(table.schema.get_field_index(out), out, clean).select(kept).slice(before, len(x) - before - after)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < MOST:
+                continue
+            of = held.column(stream).to_numpy()
+            goes_on = int(np.flatnonzero(of[1:] != of[:-1])[-1]) + 1 if (of[1:] != of[:-1]).any() else 0
+            if goes_on:  # all streams but the last are whole
+                yield from judged(held.slice(0, goes_on), before, 0).combine_chunks().to_batches()
+                held, before = held.slice(goes_on), 0
+            if held.num_rows >= MOST:  # the last one is longer than what is held at once
+                yield from judged(held, before, reach).combine_chunks().to_batches()
+                most = min(held.num_rows, 2 * reach)
+                held, before = held.slice(held.num_rows - most), most - reach
+        if held is not None and held.num_rows:
+            yield from judged(held, before, 0).combine_chunks().to_batches()
+
+    dealt = marked.repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = StructType([marked.schema[c] for c in kept])
+    return dealt.mapInArrow(run, schema).select(*names, *([out] if out not in names else []))
 
 
 def sequence_gaps(df: DataFrame, keys: list[str], order: list[str], sequence: str) -> DataFrame:

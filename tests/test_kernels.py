@@ -194,3 +194,27 @@ def test_rest_stands_without_the_llm_folders(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'fisher_topk' in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_hampel_over_batches(spark, monkeypatch):
+    """Streams longer than what a task holds, short ones, missing values, and more columns."""
+    monkeypatch.setattr(signal, "MOST", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        rng = np.random.default_rng(8)
+        streams = {k: [None if k == "gaps" and i % 7 == 3 else float(v) if i % 11 else 40.0 for i, v in enumerate(rng.normal(size=n))] for k, n in (("a", 200), ("b", 1), ("c", 2), ("d", 31), ("e", 500), ("gaps", 90), (None, 44))}
+        rows = [(k, i, v, "kept") for k, own in streams.items() for i, v in enumerate(own)]
+        df = spark.createDataFrame(rows, "k string, i int, x double, other string").repartition(5)
+        for edges in ("nearest", "truncate"):
+            got = {(r["k"], r["i"]): r["clean"] for r in signal.hampel(df, ["k"], ["i"], "x", 3, edges=edges).collect()}
+            assert len(got) == len(rows)
+            for k, own in streams.items():
+                x = np.array([np.nan if v is None else v for v in own])
+                n = len(x)
+                at = [np.clip(np.arange(i - 3, i + 4), 0, n - 1) if edges == "nearest" else np.arange(max(0, i - 3), min(n, i + 4)) for i in range(n)]
+                median = np.array([np.nanmedian(x[a]) for a in at])
+                scale = np.array([np.nanmedian(np.abs(x - median)[a] if edges == "nearest" else np.abs(x[a] - median[i])) for i, a in enumerate(at)]) * 1.4826
+                want = [m if s > 0 and abs(v - m) > 3 * s and (n >= 3 or edges != "nearest") else v for v, m, s in zip(x.tolist(), median.tolist(), scale.tolist(), strict=True)]
+                assert np.allclose([np.nan if got[k, i] is None else got[k, i] for i in range(n)], want, equal_nan=True), (k, edges)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -106,20 +106,19 @@ class Forest:
 
         return column(F.col(features).cast("array<double>"))
 
-    def probabilities(self, features: str) -> Column:
-        """The probabilities of the classes, in their order."""
-        if self.start is None:
-            shares = [np.array([np.array(v) / sum(v) if f < 0 else np.zeros(len(self.classes)) for v, f in zip(t.value, t.feature, strict=True)]) for t in self.trees]
-
-            def run(x: np.ndarray, arrays: list) -> np.ndarray:
-                return sum((s[_routed(a, x)] for s, a in zip(shares, arrays, strict=True)), np.zeros((len(x), len(self.classes)))) / len(arrays)
-        else:
+    def local(self):
+        """A function from a matrix of vectors to the probabilities of the classes, for use in tasks."""
+        if self.start is not None:
             scores = self.scorer()
+            return lambda x: softmax(scores(x))
+        arrays, k = [t.arrays() for t in self.trees], len(self.classes)
+        shares = [np.array([np.array(v) / sum(v) if f < 0 else np.zeros(k) for v, f in zip(t.value, t.feature, strict=True)]) for t in self.trees]
+        return lambda x: sum((s[_routed(a, x)] for s, a in zip(shares, arrays, strict=True)), np.zeros((len(x), k))) / len(arrays)
 
-            def run(x: np.ndarray, arrays: list) -> np.ndarray:
-                return softmax(scores(x))
-
-        return self._each(features, "array<double>", run)
+    def probabilities(self, features: str) -> Column:
+        """The probabilities of the classes, in their order."""
+        judge = self.local()
+        return self._each(features, "array<double>", lambda x, arrays: judge(x))
 
     def scorer(self):
         """A function from vectors to the boosted scores of each class."""

@@ -33,7 +33,7 @@ COMPLEXITY = ", ".join(f"{c} {'double' if c.startswith('mean') else 'int'}" for
 
 @dataclass(frozen=True)
 class Spec:
-    """kind is decision_tree, extra_trees, gradient_boosting, or the name of one of models.estimator(); top_k None takes all features."""
+    """kind is decision_tree, extra_trees, gradient_boosting, rbf_svm, or the name of one of models.estimator(); top_k None takes all features."""
 
     name: str
     family: str
@@ -67,6 +67,11 @@ def fitted(spec: Spec, seed: int, rows: DataFrame, classes: list, width: int) ->
         root = models.fit_tree(rows, "features", "label", width, **more)
         model = complexity.of_tree(root, classes, width)
         return model, lambda df: model.predict(df, "features")
+    if spec.kind == "rbf_svm":
+        count, gamma = more.pop("count", 512), more.pop("gamma", 1.0 / width)
+        of = lambda df: df.withColumn("features", models.fourier("features", width, count, gamma, seed))
+        model, predict = fitted(Spec(spec.name, spec.family, "linear_svm", more), seed, of(rows), classes, count)
+        return model, lambda df: predict(of(df))
     indexed = rows.select(array_to_vector("features").alias("features"), (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("double").alias("label"))
     model = models.estimator(spec.kind, seed=seed, **more).fit(indexed)
 
@@ -145,7 +150,7 @@ class Grid:
         label = "all" if spec.top_k is None else str(spec.top_k)
         selection = [(seed, spec.name, spec.family, label, i, f, s) for i, (f, s) in enumerate(chosen, 1)]
         self._put("selection", name, self.spark.createDataFrame(selection, "seed int, model_name string, family string, top_k string, rank int, feature_index int, fisher_score double"))
-        size = complexity.of_model(model, test, "features", len(chosen), COMPLEXITY_ROWS).first() if not isinstance(model, models.Node) else None
+        size = complexity.of_model(model, test, "features", len(chosen), COMPLEXITY_ROWS).first()
         of = lambda p, c: int(sizes[p][c]) if p in sizes else 0
         row = (name, seed, window, step, of("train", "files"), of("test", "files"), of("train", "n"), of("test", "n"), split.channels, len(chosen), spec.name, spec.family, label, split.width if spec.top_k is None else spec.top_k, json.dumps(spec.parameters, sort_keys=True), fit_ms, took_ms, *size)
         self._put("runs", name, self.spark.createDataFrame([row], f"{RUN}, {COMPLEXITY}").drop("run"))  # last: with it the run is done

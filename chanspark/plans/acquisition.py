@@ -66,15 +66,12 @@ def mean_rssi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {PACKETS}, o AS (SELECT *, row_number() OVER (ORDER BY path, vec_id) - 1 AS place FROM p WHERE vec_id < 1000)
-SELECT path AS source_file, CAST(place AS BIGINT) AS place, vec_id AS sequence FROM o
+WITH {PACKETS} SELECT path AS source_file, CAST(row_number() OVER (ORDER BY path, vec_id) - 1 AS BIGINT) AS place, vec_id AS sequence FROM p
 """)
 def concatenated_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packets of the first files as one sequence, in order of path and place, each with the file that it is from."""
-    own = packets.decode(packet_files(spark, sf_dir)).where("sequence < 1000").select(F.col("path").alias("source_file"), "pos", "sequence")
-    files = own.groupBy("source_file").agg(F.count("*").alias("n"))
-    begins = files.select(F.col("source_file").alias("f"), (F.sum("n").over(Window.orderBy("source_file")) - F.col("n")).alias("begin"))  # a row a file
-    return own.join(F.broadcast(begins), F.col("source_file") == F.col("f")).select("source_file", (F.col("begin") + F.col("pos")).alias("place"), "sequence")
+    """The packets of all files as one sequence, in order of path and place, each with the file that it is from."""
+    found = packets.concatenated(packets.decode(packet_files(spark, sf_dir)))
+    return found.select(F.col("path").alias("source_file"), "place", "sequence")
 
 
 @register("""

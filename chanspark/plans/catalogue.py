@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from chanspark.plans import acquisition, evaluation, experiments, relational, sensor, suite  # noqa: F401  their queries register themselves
+    from chanspark.plans import acquisition, evaluation, experiments, recordings, relational, sensor, suite  # noqa: F401  their queries register themselves

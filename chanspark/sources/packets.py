@@ -12,7 +12,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chanspark.functions import naming
@@ -33,8 +33,8 @@ SCHEMA = (
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def packet_rows(content: bytes) -> Iterator[dict]:
-    """The packets of a file, in order. ValueError on a wrong magic, another version, or bytes that end too early."""
+def _places(content: bytes) -> Iterator[tuple[int, int, tuple]]:
+    """(version, where its body begins, header) of each packet. ValueError on a wrong magic, another version, or bytes that end too early."""
     if len(content) < FILE_HEADER.size:
         raise ValueError("file header is cut short")
     magic, version = FILE_HEADER.unpack_from(content)
@@ -42,20 +42,39 @@ def packet_rows(content: bytes) -> Iterator[dict]:
         raise ValueError("no packet file")
     if version not in HEADERS:
         raise ValueError(f"version {version} is not supported")
-    header, at, pos = HEADERS[version], FILE_HEADER.size, 0
+    header, at = HEADERS[version], FILE_HEADER.size
+    width = 1 + FIELDS[version].index("n")
     while at < len(content):
         if at + header.size > len(content):
             raise ValueError("packet header is cut short")
-        size, *values = header.unpack_from(content, at)
-        row = dict(zip(FIELDS[version], values, strict=True))
-        at, n = at + header.size, row.pop("n")
-        if at + size + 4 * n > len(content):
+        values = header.unpack_from(content, at)
+        at += header.size
+        size = values[0] + 4 * values[width]
+        if at + size > len(content):
             raise ValueError("packet is cut short")
+        yield version, at, values
+        at += size
+
+
+def packet_rows(content: bytes) -> Iterator[dict]:
+    """The packets of a file, in order. ValueError on a wrong magic, another version, or bytes that end too early."""
+    for pos, (version, at, (size, *values)) in enumerate(_places(content)):
+        row = dict(zip(FIELDS[version], values, strict=True))
+        n = row.pop("n")
         row["label"] = content[at : at + size].decode()
         parts = np.frombuffer(content, "<i2", 2 * n, at + size)
         row |= {"imag": parts[:n], "real": parts[n:], "file_version": version, "pos": pos}
-        at, pos = at + size + 4 * n, pos + 1
-        yield {"capture_timestamp": row["pc_timestamp"], "esp_timestamp_us": 0, "sequence": 0, "packet_index": pos, "flags": 0} | row
+        yield {"capture_timestamp": row["pc_timestamp"], "esp_timestamp_us": 0, "sequence": 0, "packet_index": pos + 1, "flags": 0} | row
+
+
+def fault(content: bytes) -> str | None:
+    """Why a file can't be read out whole, by its headers; null if it can."""
+    try:
+        for _ in _places(content):
+            pass
+    except ValueError as e:
+        return str(e)
+    return None
 
 
 def packet_bytes(rows: list[dict]) -> bytes:
@@ -72,32 +91,23 @@ def packet_bytes(rows: list[dict]) -> bytes:
 def decode(files: DataFrame, malformed: str = "fail") -> DataFrame:
     """Packets of (path, content). malformed: fail; drop, which leaves the files that can't be read out whole; report, which has a row (path, error) for each of them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                error = None
-                if malformed != "fail":  # whether a file is whole is known at its end only; its packets are not held until then
+                error = fault(content) if malformed != "fail" else None  # known at a file's end only; its packets are not held until then
+                if error is None:
                     try:
-                        for _ in packet_rows(content):
-                            pass
+                        for row in packet_rows(content):
+                            yield row | {"path": path, "error": None}
                     except ValueError as e:
-                        error = str(e)
-                if error is None:
-                    yield from shown(path, content)
+                        raise ValueError(f"{path}: {e}") from e
                 elif malformed == "report":
-                    yield pd.DataFrame([dict.fromkeys(COLUMNS) | {"path": path, "error": error}])
-
-    def shown(path: str, content: bytes) -> Iterator[pd.DataFrame]:
-        rows = packet_rows(content)
-        while True:
-            try:
-                part = list(islice(rows, 4096))
-            except ValueError as e:
-                raise ValueError(f"{path}: {e}") from e
-            if not part:
-                return
-            frame = pd.DataFrame(part).assign(path=path)[COLUMNS]
-            yield frame.assign(error=None) if malformed == "report" else frame
+                    yield dict.fromkeys(COLUMNS) | {"path": path, "error": error}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, names = rows(frames), [*COLUMNS, *["error"] * (malformed == "report")]
+        while part := list(islice(every, 4096)):  # packets of as many files as there are
+            yield pd.DataFrame({c: pd.Series([r[c] for r in part], dtype=object) for c in names})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA + ", error string" * (malformed == "report"))
 
@@ -108,15 +118,34 @@ def read(spark: SparkSession, folder: str, labels: list[str] | None = None, quad
     The filters are on the path, so files that don't count are not read.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bin").load(folder)
-    path = F.col("path")
-    kept = found.where(naming.label_of_path(path).isNotNull() & naming.part_starting(path, "quad").isNotNull())
-    if labels:
-        kept = kept.where(naming.label_of_path(path).isin(labels))
-    if quadrants:
-        kept = kept.where(naming.part_starting(path, "quad").isin(quadrants))
+    path, kept = F.col("path"), found.where(on_path(labels, quadrants))
     return decode(kept, malformed).withColumns({"path_label": naming.label_of_path(path), "session": naming.part_starting(path, "session"), "quadrant": naming.part_starting(path, "quad")})
 
 
+def on_path(labels: list[str] | None = None, quadrants: list[str] | None = None, path: str = "path") -> Column:
+    """Whether a path names a class and a quadrant, of those that are wanted."""
+    own, place = naming.label_of_path(F.col(path)), naming.part_starting(F.col(path), "quad")
+    kept = own.isNotNull() & place.isNotNull()
+    if labels:
+        kept = kept & own.isin(labels)
+    return kept & place.isin(quadrants) if quadrants else kept
+
+
+#: Files whose first places are broadcast.
+BROADCAST_FILES = 100_000
+
+
+def concatenated(packets: DataFrame, out: str = "place") -> DataFrame:
+    """packets with their place in one sequence of all files, in order of path and place in it, from 0.
+
+    Where a file begins follows from counts, a row a file; packets aren't brought into one order for it.
+    """
+    files = packets.groupBy("path").agg(F.count("*").alias("_n"), F.min("pos").alias("_first"))
+    begins = files.select(F.col("path").alias("_path"), "_first", (F.sum("_n").over(Window.orderBy("path")) - F.col("_n")).alias("_begin"))
+    few = files.count() <= BROADCAST_FILES
+    return packets.join(F.broadcast(begins) if few else begins, F.col("path") == F.col("_path")).withColumn(out, F.col("_begin") + F.col("pos") - F.col("_first")).drop("_path", "_begin", "_first")
+
+
 def exploded(packets: DataFrame) -> DataFrame:
     """One row a packet and subcarrier, as for a CSV file: packets are counted from 0."""
     n = F.least(F.size("imag"), F.size("real"))

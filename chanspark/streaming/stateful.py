@@ -69,7 +69,8 @@ class Inference(StatefulProcessor):
 
 
 def prepare(spark: SparkSession) -> None:
-    """The state API needs a store that holds each variable by itself."""
+    """The state API needs a store that holds each variable by itself, and, on batch data too, what coordinates stores, which the query manager starts."""
+    spark.streams.active  # noqa: B018  makes the manager
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 

@@ -228,7 +228,17 @@ class Pieces:
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         flat, at = np.fromiter(chain.from_iterable(own), np.int32, sizes.sum()), np.concatenate([[0], np.cumsum(sizes)])
         ids, upto = ragged(flat, at, code)
-        return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
+        return self._joined(ids, upto[np.concatenate([[0], np.cumsum(counts)])])
+
+    def _joined(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with one unknown id for each run of unknown characters of a text, as the library has it."""
+        if len(self.bytes) == 256:
+            return ids, offsets
+        unknown = ids == self.own.unk_id()
+        again = unknown.copy()
+        again[1:] &= unknown[:-1]
+        again[offsets[:-1][offsets[:-1] < len(ids)]] = False
+        return ids[~again], offsets - np.concatenate([[0], np.cumsum(again)])[offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The UTF-8 bytes of all texts, and where each begins; the space that stands for the first mark is left out."""

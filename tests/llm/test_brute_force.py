@@ -141,13 +141,13 @@ def _varint(x):
     return out + bytes([x])
 
 
-def _unigram_model():
+def _unigram_model(kind=1):
     """A vocabulary with scores written down by hand; nothing is trained."""
     scored = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
     words = "▁ ▁the ▁a th he er in ing ▁in r i v e s t o n g ▁r iver ▁river ▁st one ▁stone ▁l ight l h b c d f w m u y p light ▁light ght ▁lightning lightn or ▁mor ning ▁morning".split(" ")
     scored += [(w, -1.0 - 0.37 * (k * 7 % 23) - 0.5 / len(w), 1) for k, w in enumerate(words)]
     body = b"".join(_field(1, 2, _field(1, 2, p.encode()) + _field(2, 5, s) + _field(3, 0, t)) for p, s, t in scored)
-    return body + _field(2, 2, _field(3, 0, 1)) + _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, 1) + _field(4, 0, 0) + _field(5, 0, 1))
+    return body + _field(2, 2, _field(3, 0, kind)) + _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, 1) + _field(4, 0, 0) + _field(5, 0, 1))
 
 
 def test_viterbi_over_shared_prefixes(spark, tmp_path):
@@ -162,3 +162,15 @@ def test_viterbi_over_shared_prefixes(spark, tmp_path):
         want = own.encode(text or "")
         assert own.decode(got[i]["piece_ids"]) == own.decode(want) or "ü" in (text or "") or "z" in (text or "")
         assert got[i]["piece_ids"] == want or score(got[i]["piece_ids"]) == pytest.approx(score(want), abs=1e-4)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_runs_of_unknown_characters(spark, tmp_path, kind):
+    """A vocabulary without bytes gives one unknown id for each run of a text, within words and over them, as the library does."""
+    file = tmp_path / "small.model"
+    file.write_bytes(_unigram_model(kind))
+    own = sentencepiece.SentencePieceProcessor(model_file=str(file))
+    texts = ["a 12345 b", "the ЖЖЖ river", "Ж", "ЖЖ", "ЖaЖЖ", "", None, "ЖЖЖ ЖЖЖ", "river ЖЖ", "12 stone 3456 ЖЖ a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = _map(pieces.encode(rows, str(file)))
+    assert [got[i]["piece_ids"] for i in range(len(texts))] == [own.encode(t or "") for t in texts]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chanspark.functions import naming
-from chanspark.operators import complexity, ensembles, grid, metrics, models, panes, splits
+from chanspark.operators import complexity, ensembles, folds, grid, metrics, models, panes, splits
 from chanspark.plans.catalogue import register, table
 from chanspark.plans.sensor import KEYS, ORDER, W, events
 from chanspark.sources import shared
@@ -186,6 +186,13 @@ def grid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).metrics().where("model_name = 'stump'").select("seed", "train_windows", "test_windows", *[F.round(c, 8).alias(c) for c in rounded], *complexity.MEASURES)
 
 
+@register()
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class metrics of exact trees that are each fitted on all vectors but the one that they judge, over two features of the vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double"), 2)).alias("f"))
+    return metrics.per_class(folds.leave_one_out(rows, "vec_id", "f", "label", 2, max_depth=2), "true", "predicted")
+
+
 @register()
 def window_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of windows, the best first: descriptors of all of them from one scan, and a small tree over each seed's streams."""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chanspark.llm.common import cut
 
+#: Links of a partition, about: few links are not dealt over many.
+LINKS = 100_000
+
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
@@ -36,8 +39,8 @@ def components(links: DataFrame) -> DataFrame:
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if state == before or state["n"] == 0:
             break
-        before = state
-        larger = cut(_star(_both_ways(links), large=True))
-        links = cut(_star(larger.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")), large=False))
+        before, parts = state, -(-state["n"] // LINKS)  # a round makes no more links than it has
+        larger = cut(_star(_both_ways(links), large=True).coalesce(parts))
+        links = cut(_star(larger.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")), large=False).coalesce(parts))
     roots = links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return roots.union(links.select(F.col("b").alias("node"), F.col("a").alias("root")))

@@ -37,7 +37,7 @@ BROADCAST_IDS = 500_000
 BITMAP, EPS = 16, 1e-9
 #: Pairs for each group, on average, up to which all are compared at once; beyond, each group's best pair goes first, then
 #: so many times as many in each round, so that rounds grow with the logarithm of a group's pairs.
-AT_ONCE, MORE = 4, 8
+AT_ONCE, MORE = 4, 64
 
 
 def _sets(column: pa.Array, shingle: int, last: np.ndarray):
@@ -175,9 +175,11 @@ def _across(entries: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     grouped = entries.join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "at", F.coalesce("root", "digest").alias("group"))
     several = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.col("key").alias("k"))
     left = cut(grouped.join(several, F.col("key") == F.col("k"), "left_semi"))
-    others = left.select(F.col("key").alias("k"), F.col("group").alias("other")).distinct()
+    # Of a group's texts at a key the fewest shingles, and the most that come from there on: what bounds all of them.
+    others = left.groupBy(F.col("key").alias("k"), F.col("group").alias("other")).agg(F.min("n").alias("fewest"), F.max(F.col("n") - F.col("at")).alias("rest"))
     a, b = _sides(left, "group")
-    asked = a.join(others, (F.col("key") == F.col("k")) & (F.col("group_a") < F.col("other"))).drop("k")
+    fits = _enough(F.least(F.col("n_a") - F.col("at_a"), F.col("rest")), F.col("n_a"), F.col("fewest"), similarity)
+    asked = a.join(others, (F.col("key") == F.col("k")) & (F.col("group_a") < F.col("other")) & fits).drop("k", "fewest", "rest")
     return _allowed(asked.join(b.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("other") == F.col("group_b"))), similarity)
 
 
@@ -230,23 +232,30 @@ def _prefixes(sketched: DataFrame) -> DataFrame:
     return sketched.select("digest", "n", F.posexplode("prefix").alias("at", "key")).select("key", "digest", "n", "at")
 
 
-def _settled(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, known: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """known (a, b), whose components are roots, and as many of the similar ones among pairs as join the groups that all of them join."""
+def _settled(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """roots (node, root), with those groups as one that similar texts among pairs join; the smallest node names a group.
+
+    A round looks for components of the groups that it joins, and not of all texts anew.
+    """
     left, quota = cut(_close(pairs, sketched, similarity)), 1
     while True:
         for k in "ab":
             left = left.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
         left = cut(left.where("root_a <> root_b"))
         group = F.greatest("root_a", "root_b").alias("group")
-        best = cut(left.groupBy(group, F.pmod(F.xxhash64("a", "b"), F.lit(quota)).alias("_of")).agg(F.min(F.struct("unlike", "a", "b")).alias("p")).select("group", "p.a", "p.b"))
+        best = cut(left.groupBy(group, F.pmod(F.xxhash64("a", "b"), F.lit(quota)).alias("_of")).agg(F.min(F.struct("unlike", "a", "b", "root_a", "root_b")).alias("p")).select("group", "p.*"))
         n, groups = left.count(), best.select("group").distinct().count()
         if not n:
-            return known
-        tried = (left if n <= AT_ONCE * groups else best).select("a", "b")
-        known = cut(known.union(_verified(docs, sketched, tried, shingle, similarity)))
+            return roots
+        tried = (left if n <= AT_ONCE * groups else best).select("a", "b", "root_a", "root_b")
+        met = _verified(docs, sketched, tried, shingle, similarity).join(tried, ["a", "b"])
+        joined = cut(components(met.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+        moved = joined.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        after = roots.join(moved, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+        roots = cut(after.union(joined.select("node", "root")).distinct())
         if n <= AT_ONCE * groups:
-            return known
-        left, roots, quota = left.select("a", "b", "unlike").join(tried, ["a", "b"], "left_anti"), components(known), quota * MORE
+            return roots
+        left, quota = left.select("a", "b", "unlike").join(tried.select("a", "b"), ["a", "b"], "left_anti"), quota * MORE
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -266,10 +275,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float =
     known = cut(of_bits.union(same))
     beside = cut(_neighbours(_prefixes(each)))
     pairs = beside.where("before IS NOT NULL").select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), *[F.col(f"before.{c}").alias(k) for c, k in (("digest", "b"), ("n", "n_b"), ("at", "at_b"))])
-    known = _settled(docs, each, _allowed(pairs, similarity), known, components(known), shingle, similarity)
-    roots = components(known)
-    known = _settled(docs, each, _across(_entries(beside), roots, similarity), known, roots, shingle, similarity)
-    roots = components(known)
+    roots = _settled(docs, each, _allowed(pairs, similarity), cut(components(known)), shingle, similarity)
+    roots = _settled(docs, each, _across(_entries(beside), roots, similarity), roots, shingle, similarity)
     grouped = distinct.join(roots, F.col("digest") == F.col("node"), "left").groupBy(F.coalesce("root", "digest").alias("group"))
     first = grouped.agg(F.min("least_id").alias("_first")).select("_first").distinct()
     kept = unused(docs, "_first")

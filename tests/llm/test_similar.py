@@ -84,11 +84,10 @@ def test_rounds_grow_slowly(spark, monkeypatch):
     calls, verified = [], similar._verified
     monkeypatch.setattr(similar, "_verified", lambda *a: calls.append(1) or verified(*a))
     monkeypatch.setattr(similar, "_close", lambda p, *_: p.withColumn("unlike", similar.F.lit(0)))
-    empty = every.limit(0)
-    known = similar._settled(docs, each, every, empty, similar.components(empty), 5, 0.8)
+    roots = similar._settled(docs, each, every, similar.components(every.limit(0)), 5, 0.8)
     sets = {r["doc_id"]: _shingles(r["text"]) for r in docs.collect()}
     alike = [a for a in sets if any(a != b and _near(sets[a], sets[b]) for b in sets)]
-    assert similar.components(known).count() == len(alike) and len(calls) <= 8 < every.count() / 100
+    assert roots.count() == len(alike) and len(calls) <= 8 < every.count() / 100
 
 
 def test_pipeline_stage_keeps_one_of_similar_texts(spark):

@@ -73,7 +73,11 @@ def _vectors(rows: DataFrame, features: str, label: str, classes: list, width: i
 
 
 def classes_of(rows: DataFrame, label: str) -> list:
-    return sorted(r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().collect())  # classes are few
+    """The classes in order; ValueError if no row has one."""
+    found = sorted(r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().collect())  # classes are few
+    if not found:
+        raise ValueError("no row has a label")
+    return found
 
 
 @dataclass

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chanspark.operators.ensembles import _matrix, classes_of
+from chanspark.operators.ensembles import _matrix
 
 #: Different values of all features in all nodes of a level; leave-one-out is for tables that are no larger.
 MOST_VALUES = 5_000_000
@@ -74,11 +74,13 @@ def _next(values: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, x: np.
 def leave_one_out(rows: DataFrame, key: str, features: str, label: str, width: int, max_depth: int = 4, min_split: int = 2) -> DataFrame:
     """(key, true, predicted) of each row by the exact tree that is fitted on all others, as models.fit_tree() fits it.
 
-    Rows without a label, or with a vector of another width or with a missing value, are left out; of one row there is
+    An empty table gives none. Rows without a label, or with a vector of another width or with a missing value, are left out; of one row there is
     no tree, and predicted is null. Rows of one key are rows by themselves. ValueError beyond MOST_VALUES.
     """
     spark = rows.sparkSession
-    labels = classes_of(rows, label)
+    labels = sorted(r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().collect())  # classes are few
+    if not labels:
+        return rows.limit(0).select(key, F.col(label).alias("true"), F.col(label).alias("predicted"))
     label_type = rows.schema[label].dataType.simpleString()
     y = F.array_position(F.array(*map(F.lit, labels)), F.col(label)).cast("int") - 1
     whole = F.col(label).isNotNull() & (F.size(features) == width) & F.forall(features, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))

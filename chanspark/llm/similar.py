@@ -35,6 +35,8 @@ BROADCAST_IDS = 500_000
 
 #: Least longs of a bitmap of parities, which has two bits a shingle at least; what rounding may take from a size.
 BITMAP, EPS = 16, 1e-9
+#: Text bytes whose shingles a task holds at once.
+SLICE = 1 << 19
 #: Pairs for each group, on average, up to which all are compared at once; beyond, each group's best pair goes first, then
 #: so many times as many in each round, so that rounds grow with the logarithm of a group's pairs.
 AT_ONCE, MORE = 4, 64
@@ -66,7 +68,7 @@ def _last(docs: DataFrame, shingle: int) -> np.ndarray:
     """The shingles that a sample of the documents often has, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(_sets(part.column(0), shingle, np.zeros(0, np.uint64))[-1].view(np.int64))], ["s"])
 
     share = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30))
@@ -85,7 +87,7 @@ def _sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             fp, digest, size, text, own = _sets(part.column(1), shingle, last.value)
             fresh = np.zeros(len(size), bool)
             for i, d in enumerate(digest.tolist()):
@@ -210,7 +212,7 @@ def _verified(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, shingle: i
     ids = cut(sketched.join(some, F.col("digest") == F.col("of"), "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id")).select("id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, SLICE):
             _, digest, size, _, own = _sets(part.column(0), shingle, np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(digest), _lists(own.view(np.int64), size)], ["digest", "shingles"])
 

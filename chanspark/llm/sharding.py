@@ -4,7 +4,8 @@ Rows are put in the order of (hash of the text, doc_id), in which equal texts ar
 boundaries are counted exactly across all partitions, with a histogram of 4,096 probes at a time; each round refines the
 probes in the buckets where a boundary has to lie, until every splitter is the very key at which its share of the bytes
 is reached. What comes to the driver is a histogram of at most (shards x 4,096) buckets a round. Rows are then exchanged
-once. A text that a third of all rows have is split by doc_id like any other run of rows.
+once. A text that a third of all rows have is split by doc_id like any other run of rows, and rows that repeat text and
+doc_id are split by their number at a boundary that falls among them.
 """
 
 from __future__ import annotations
@@ -31,16 +32,19 @@ def _part(part: str) -> Column:
     return F.shiftright("_id", 32) + (1 << 31) if part == "high" else F.col("_id").bitwiseAND(0xFFFFFFFF)
 
 
-def _splitters(keys: DataFrame, goals: list[int]) -> list[tuple[int, int] | None]:
-    """For each goal the first (hash, id) such that all keys up to it weigh more than goal; None if there is none."""
-    found: dict[int, tuple[int, int]] = {}
+def _splitters(keys: DataFrame, goals: list[int]) -> list[tuple[int, int, int, int] | None]:
+    """For each goal the first (hash, id) such that all keys up to it weigh more than goal; None if there is none.
+
+    With it come how many rows of that key, which weigh the same, still fit below the goal, and how many there are.
+    """
+    found: dict[int, tuple[int, int, int, int]] = {}
     waiting: dict[tuple[int, ...], list[tuple[int, int]]] = {(): [(g, g) for g in sorted(set(goals))]}
     left = keys
     for at, (part, shift, bits) in enumerate(DIGITS):
         names = [f"_d{i}" for i in range(at + 1)]
         left = left.withColumn(names[-1], F.shiftrightunsigned(_part(part), shift).bitwiseAND((1 << bits) - 1))
         key = F.struct("_hash", "_id")
-        counted = left.groupBy(*names).agg(F.sum("_weight").alias("n"), F.min(key).alias("least"), F.max(key).alias("most")).collect()
+        counted = left.groupBy(*names).agg(F.sum("_weight").alias("n"), F.count("*").alias("copies"), F.min(key).alias("least"), F.max(key).alias("most")).collect()
         buckets: dict[tuple[int, ...], list] = {}
         for r in sorted(counted, key=lambda r: tuple(r[: at + 1])):
             buckets.setdefault(tuple(r[:at]), []).append(r)
@@ -50,7 +54,7 @@ def _splitters(keys: DataFrame, goals: list[int]) -> list[tuple[int, int] | None
                 for r in buckets.get(prefix, []):
                     if r["n"] > rest:
                         if r["least"] == r["most"]:
-                            found[goal] = tuple(r["least"])
+                            found[goal] = (*r["least"], rest * r["copies"] // r["n"], r["copies"])
                         else:
                             following.setdefault(tuple(r[: at + 1]), []).append((goal, rest))
                         break
@@ -73,6 +77,30 @@ def _hash_of(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def _group_of(row: Column) -> Column:
+    """The group of an id in which slots are numbered."""
+    return F.floor(F.conv(F.substring(F.md5(row.cast("string")), 1, 3), 16, 10).cast("int") / (4096 // SLOT_GROUPS)).cast("int")
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with column name: their number from 0 among those of the same keys, of which there are few.
+
+    The rows are written, so that each has its partition for good; counts of (keys, partition) tell where each partition's
+    numbers begin, so that a key that many rows have is numbered by many tasks.
+    """
+    part, of, begin, n = (unused(rows, c) for c in ("_part", "_in", "_begin", "_n"))
+    fixed = cut(rows).withColumn(part, F.spark_partition_id())
+    counts = fixed.groupBy(*keys, part).agg(F.count("*").alias(n))
+    upto = F.sum(n).over(W.partitionBy(*keys).orderBy(part)) - F.col(n)
+    begins = counts.select(*[F.col(k).alias(f"{of}{k}") for k in keys], F.col(part).alias(of), upto.alias(begin))
+    same = F.col(part) == F.col(of)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"{of}{k}"))
+    own = F.row_number().over(W.partitionBy(*keys, part).orderBy(part)) - 1
+    # At most a row for each of the keys (fewer than shards) and partition.
+    return fixed.withColumn(name, own).join(F.broadcast(begins), same).withColumn(name, F.col(name) + F.col(begin)).select(*map(quoted, rows.columns), name)
+
+
 def _rendezvous(doc_id: Column, shards: int) -> Column:
     """The shard whose hash with doc_id is the largest: one more shard wins rows from others, but moves none between them."""
     tries = F.array(*[F.struct(F.xxhash64(doc_id, F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(shards)])
@@ -84,10 +112,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFra
 
     size is the UTF-8 bytes of the text plus 1; a null text has none, and the checksum of no bytes. Law `bytes`: a shard
     ends with the key at which its share of all bytes is passed, so sizes differ by about the largest row; `rows`: the
-    same with one for each row; `key`: doc_id and the number of shards decide, and grown_shard is the shard if there
-    is one more. slot counts a shard's rows from 0. Rows with the same text and doc_id share a key and hence a shard, so the
-    laws hold up to such repeats; a null doc_id is below all others; an empty table has no rows. Other columns stay as
-    they are, whatever their names.
+    same with one for each row, so counts are at most one apart; `key`: doc_id and the number of shards decide, and
+    grown_shard is the shard if there is one more. slot counts a shard's rows from 0. Rows with the same text and doc_id are
+    alike to the first two laws, so where a boundary falls among them it is any of them that go on. A null doc_id is below
+    all others; an empty table has no rows. Other columns stay as they are, whatever their names.
     """
     if law not in LAWS or shards < 1:
         raise ValueError(f"law is one of {LAWS}, and there is at least one shard")
@@ -107,9 +135,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFra
         total = narrow.agg(F.sum("_weight")).first()[0] or 0
         starts = [s for s in _splitters(narrow, [i * total // shards for i in range(1, shards)]) if s]
         key = F.struct(F.col(hashed).alias("h"), F.col(row).alias("i"))
-        passed = [(key >= F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i"))).cast("int") for h, i in starts]
+        start = lambda s: F.struct(F.lit(s[0]).cast("long").alias("h"), F.lit(s[1]).cast("long").alias("i"))
+        whole, among = [s for s in starts if not s[2]], [s for s in starts if s[2]]
+        passed = [(key >= start(s)).cast("int") for s in whole] + [(key > start(s)).cast("int") for s in among]
         placed = keyed.withColumn("shard", sum(passed, F.lit(0)))
-    grouped = placed.withColumn(group, F.floor(F.conv(F.substring(F.md5(F.col(row).cast("string")), 1, 3), 16, 10).cast("int") / (4096 // SLOT_GROUPS)).cast("int"))
+        if among:
+            number, split = unused(docs, "_number"), F.lit(False)
+            for s in among:
+                split = split | (key == start(s))
+            further = [((key == start(s)) & (F.col(number) >= s[2])).cast("int") for s in among]
+            divided = _numbered(placed.where(split), [hashed, row], number).withColumn("shard", sum(further, F.col("shard"))).drop(number)
+            placed = placed.where(~split).unionByName(divided)
+    grouped = placed.withColumn(group, _group_of(F.col(row)))
     # At most shards x SLOT_GROUPS rows, whatever the input: where each group's slots begin.
     sizes = grouped.groupBy("shard", group).agg(F.count("*").alias("_n"))
     begins = sizes.select(F.col("shard").alias(shard), F.col(group).alias(of), (F.sum("_n").over(W.partitionBy("shard").orderBy(group)) - F.col("_n")).alias(begin))

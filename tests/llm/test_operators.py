@@ -271,10 +271,24 @@ def test_shards(spark, docs, by_id, none, law):
             assert r["grown_shard"] in (r["shard"], 4)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     if law == "rows":
-        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 2  # rows that repeat stay together
+        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sharding.summary(none, 4, law).count() == 0
 
 
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_shards_of_repeats(spark, law):
+    """Rows that repeat text and doc_id, half of all and more than a shard's share, are split like any others."""
+    rows = [(i, f"text number {i} " + "x" * (i % 7)) for i in range(40)] + [(77, "the same row again")] * 40 + [(None, None)] * 9
+    found = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, law).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in found) == sorted((i or -1, t or "") for i, t in rows)
+    weights, slots = defaultdict(int), defaultdict(list)
+    for r in found:
+        weights[r["shard"]] += r["size"] if law == "bytes" else 1
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(weights) == [0, 1, 2, 3] and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(weights.values()) - min(weights.values()) <= (2 * max(r["size"] for r in found) if law == "bytes" else 1)  # a boundary is off by a row at most
+
+
 QUESTION = "A train leaves the old station at 9:30 and travels 120 km to the northern harbour before Maria counts 45 boxes of apples on the long wooden platform"
 
 

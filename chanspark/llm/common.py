@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SL
             start = stop
 
 
+def _give_back() -> None:
+    """Free memory of this process goes back to the system, where the C library can do that (glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, before and after which free memory goes back to the system.
+
+    Spark uses Python workers again for other stages; what an earlier one has freed is otherwise kept beside what the
+    next one takes.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        yield from run(batches)
+        _give_back()
+
+    return held
+
+
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts after one another, and where each begins (and the last ends); null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chanspark.llm.common import buffer, cut, slices, unused
+from chanspark.llm.common import buffer, cut, frugal, slices, unused
 
 ROWS_PER_LANGUAGE = 1500
 #: Bytes that the table of costs, which each worker has, may take.
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             added = [pa.array(names, pa.string()), pa.array(score), pa.array(per, from_pandas=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], schema=pa.schema([*part.schema, *extra]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def held_out(docs: DataFrame):

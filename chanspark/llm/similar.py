@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chanspark.llm import simhash
-from chanspark.llm.common import cut, mix, partitions, slices, unused
+from chanspark.llm.common import cut, frugal, mix, partitions, slices, unused
 from chanspark.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -106,7 +106,7 @@ def _sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(run, "doc_id long, digest long, fp long, n int, prefix array<long>, bitmap array<long>")
+    return own.mapInArrow(frugal(run), "doc_id long, digest long, fp long, n int, prefix array<long>, bitmap array<long>")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _verified(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, shingle: i
 
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = cut(texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"]))
+    sets = cut(texts.mapInArrow(frugal(run), "digest long, shingles array<long>").dropDuplicates(["digest"]))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return _with_sides(pairs.select("a", "b"), sets, "shingles").where(_enough(common, F.size("shingles_a"), F.size("shingles_b"), similarity)).select("a", "b")
 

@@ -17,6 +17,7 @@ different groups are compared. So each similar pair ends up within one group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SLICE = 1 << 19
 #: Pairs for each group, on average, up to which all are compared at once; beyond, each group's best pair goes first, then
 #: so many times as many in each round, so that rounds grow with the logarithm of a group's pairs.
 AT_ONCE, MORE = 4, 64
+#: Keys of a text, its first of so many kinds, by which it is seen that a text and a group have met before.
+SLOTS = 6
 
 
 def _sets(column: pa.Array, shingle: int, last: np.ndarray):
@@ -172,16 +175,31 @@ def _sides(entries: DataFrame, *more: str) -> list[DataFrame]:
     return [entries.select("key", F.col("digest").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in more]) for k in "ab"]
 
 
+def _marked(entries: DataFrame) -> DataFrame:
+    """The distinct rows (key, digest, n, at, ...), with met_0 and so on: the first key of each slot that the text has, if it comes before this one."""
+    slot, slots = F.pmod("key", F.lit(SLOTS)), range(SLOTS)
+    firsts = entries.groupBy(F.col("digest").alias("of")).agg(*[F.min(F.when(slot == k, F.struct("at", "key"))).alias(f"first_{k}") for k in slots])
+    before = [F.when(F.col(f"first_{k}.at") < F.col("at"), F.col(f"first_{k}.key")).alias(f"met_{k}") for k in slots]
+    return entries.join(firsts, F.col("digest") == F.col("of")).select(*entries.columns, *before)
+
+
 def _across(entries: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all texts that meet in a prefix and are in different groups; group by group, so none within one is made."""
+    """(a, b): all texts that meet in a prefix and are in different groups; group by group, so none within one is made.
+
+    Texts that have much in common meet at many keys. A text and a group are passed over at a key if an earlier one is
+    known that the text and all of the group's texts here have: there all these pairs are met, with wider bounds.
+    """
     grouped = entries.join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "at", F.coalesce("root", "digest").alias("group"))
     several = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.col("key").alias("k"))
-    left = cut(grouped.join(several, F.col("key") == F.col("k"), "left_semi"))
+    left = cut(_marked(cut(grouped.join(several, F.col("key") == F.col("k"), "left_semi"))))
+    met = [f"met_{k}" for k in range(SLOTS)]
     # Of a group's texts at a key the fewest shingles, and the most that come from there on: what bounds all of them.
-    others = left.groupBy(F.col("key").alias("k"), F.col("group").alias("other")).agg(F.min("n").alias("fewest"), F.max(F.col("n") - F.col("at")).alias("rest"))
-    a, b = _sides(left, "group")
+    of_all = [F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c)).alias(f"all_{c}") for c in met]
+    others = left.groupBy(F.col("key").alias("k"), F.col("group").alias("other")).agg(F.min("n").alias("fewest"), F.max(F.col("n") - F.col("at")).alias("rest"), *of_all)
+    a, b = _sides(left, "group", *met)[0], _sides(left, "group")[1]
     fits = _enough(F.least(F.col("n_a") - F.col("at_a"), F.col("rest")), F.col("n_a"), F.col("fewest"), similarity)
-    asked = a.join(others, (F.col("key") == F.col("k")) & (F.col("group_a") < F.col("other")) & fits).drop("k", "fewest", "rest")
+    fresh = ~reduce(Column.__or__, [F.coalesce(F.col(f"{c}_a") == F.col(f"all_{c}"), F.lit(False)) for c in met])
+    asked = a.join(others, (F.col("key") == F.col("k")) & (F.col("group_a") < F.col("other")) & fits & fresh).select("key", "a", "n_a", "at_a", "other")
     return _allowed(asked.join(b.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("other") == F.col("group_b"))), similarity)
 
 

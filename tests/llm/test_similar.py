@@ -90,6 +90,31 @@ def test_rounds_grow_slowly(spark, monkeypatch):
     assert roots.count() == len(alike) and len(calls) <= 8 < every.count() / 100
 
 
+def test_texts_that_meet_often_are_met_seldom(spark, monkeypatch):
+    """Unlike texts that share many shingles of their prefixes make few rows more than pairs, and no pair is lost."""
+    monkeypatch.setattr(similar, "OFTEN", 1000)  # as if the sample showed none of them
+    draw = random.Random(7)
+    base, rows = [f"w{i}" for i in range(500)], []
+    for k in range(40):  # alike in stretches, with a word of its own every 40 words
+        at = draw.randrange(40)
+        rows.append(" ".join(f"v{k}x{i}" if i % 40 == at else w for i, w in enumerate(base)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    each = similar.cut(similar._sketched(docs, 5, 0.8))
+    entries = similar.cut(similar._entries(similar._neighbours(similar._prefixes(each))))
+    digests = sorted(r["digest"] for r in each.select("digest").distinct().collect())
+    root = {d: digests[i - i % 2] for i, d in enumerate(digests)}  # groups of two
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    by_key = {}
+    for r in entries.collect():
+        by_key.setdefault(r["key"], set()).add((r["digest"], r["n"], r["at"]))
+    enough = lambda x, y: 9 * min(x[1] - x[2], y[1] - y[2]) >= 4 * (x[1] + y[1])
+    met = [(x[0], y[0]) for found in by_key.values() for x in found for y in found if x < y and root[x[0]] != root[y[0]] and enough(x, y)]
+    counts, allowed = [], similar._allowed
+    monkeypatch.setattr(similar, "_allowed", lambda m, t: counts.append(m.count()) or allowed(m, t))
+    assert {tuple(r) for r in similar._across(entries, roots, 0.8).collect()} == set(met)
+    assert len(met) > 5 * len(set(met)) > 1000 and counts[0] < 2.5 * len(set(met))
+
+
 def test_pipeline_stage_keeps_one_of_similar_texts(spark):
     """Over the given documents no two that stay are similar, and what goes has a chain to the one that stays."""
     import corpus_pipeline

@@ -1,5 +1,6 @@
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,43 @@ def test_replay_and_scores(spark):
     assert {r["candidate_id"] for r in best} == {0, 1} and {r["candidate_id"]: r["accepted"] for r in best}[0] == score[1]
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_tuning_counts_as_steps_do(monkeypatch, block):
+    rng = np.random.default_rng(block)
+    names = np.repeat(np.array(["a", "b", "c", "d", "e"], object), [1, 2, 150, 3, 40])
+    p = rng.choice([0.0, 0.1, 0.25, 0.5, 0.55, 1.0], (len(names), 3)) + rng.choice([0, 1e-3], (len(names), 1))
+    p[:, 0] += p.sum(axis=1) == 0
+    truth = rng.integers(0, 4, len(names))  # 0: none of the classes
+    grid = [(w, warm, n, d, q) for w in ([1.0], [0.3, 0.7], [0.2, 0.3, 0.5], [1.0, 0.0]) for warm in (0, 2) for n in (1, 3) for d in (1, 2, 4) for q in (0.0, 0.5, 0.55)]
+    candidates = {k: machine.config(w, warm, normal={t: (n, 0.5) for t in machine.NORMAL}, direct={t: (d, q) for t in machine.DIRECT}, blocked=((S, E),) * (k % 5 == 0)) for k, (w, warm, n, d, q) in enumerate(grid)}
+    monkeypatch.setattr(machine, "HELD", block * len(candidates))
+    tables = machine._Grid(candidates)
+    now = tables.start()
+    for k in range(0, len(names), tables.block()):
+        tables.add(now, names[k : k + block], truth[k : k + block], p[k : k + block])
+    want, words = [], [None, *machine.CLASSES]
+    for c, rules in candidates.items():
+        last, state, sums = None, None, np.zeros(7, int)
+        for name, t, own in zip(names, truth, p.tolist(), strict=True):
+            if name != last:
+                last, state = name, machine.start()
+            d = machine.step(state, own, rules)
+            stable = d["stable_state"]
+            sums += [1, d["raw_state"] == words[t], stable == words[t], stable == E and words[t] != E, stable != E and words[t] == E, d["transition_accepted"], d["inferred_transition"]]
+        want.append((c, *sums.tolist()))
+    assert tables.sums(now) == want
+    with pytest.raises(ValueError):
+        tables.add(now, names[:1], truth[:1], np.array([[np.nan, 1, 1]]))
+
+
+def test_tuning_of_no_rows_and_of_other_labels(spark):
+    rows = evaluation.probabilities(spark, DATA)
+    none = machine.tune(rows.where("false"), "user_id", ["ts", "event_id"], "expected", {3: machine.config()}).collect()
+    assert all(r["windows"] == 0 and r["stable_accuracy"] is None for r in none)
+    other = machine.tune(rows.withColumn("expected", F.lit(None).cast("string")), "user_id", ["ts", "event_id"], "expected", {3: machine.config()}).first()
+    assert other["raw_accuracy"] == other["stable_accuracy"] == 0 == other["false_presence"] and other["false_empty"] > 0
+
+
 def test_stream_decides_as_batch_does(spark, tmp_path):
     df = evaluation.probabilities(spark, DATA).withColumn("p", F.ntile(3).over(__import__("pyspark").sql.Window.orderBy("ts", "event_id")))
     for k in (1, 2, 3):  # files come one after another, each a micro-batch

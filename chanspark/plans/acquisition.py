@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chanspark.functions import naming
@@ -23,9 +23,14 @@ from chanspark.streaming import engine, machine
 IN_FILE = 50
 
 
+def thousandths(x: Column) -> Column:
+    """x * 1000 rounded down; the product is a float if x is one, where an integer factor would make it a double."""
+    return F.floor(x * F.lit(1000).cast("float"))
+
+
 def packet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): each 50 vectors as a file of packets whose parts are the first eight values and the next eight, times 1000."""
-    part = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.floor(x * 1000).cast("int"))
+    part = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: thousandths(x).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / IN_FILE).alias("file"), "vec_id", part(1).alias("imag"), part(9).alias("real"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chanspark.operators import bundle, grid, metrics, panes, reports, signal
-from chanspark.plans.acquisition import PACKETS, packet_files
+from chanspark.plans.acquisition import PACKETS, packet_files, thousandths
 from chanspark.plans.catalogue import register, table
 from chanspark.plans.experiments import SPLIT, _vectors
 from chanspark.plans.sensor import HOP, events
@@ -21,7 +21,7 @@ SELECT vec_id AS sequence, 'c' || CAST(vec_id % 3 AS VARCHAR) AS label, vec_id /
 def packet_source_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written as packet files and read again as a data source, in splits at packets."""
     packet_source.register(spark)
-    part = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.floor(x * 1000).cast("smallint"))
+    part = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: thousandths(x).cast("smallint"))
     own = table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("label"), (F.col("vec_id") / 2).alias("pc_timestamp"), F.col("vec_id").alias("sequence"), (-40 - F.col("vec_id") % 7).cast("int").alias("rssi"),
         F.lit(16).cast("long").alias("csi_len"), part(1).alias("imag"), part(9).alias("real"),

@@ -36,7 +36,7 @@ def _vectors(folder, values):
     return folder
 
 
-@pytest.mark.parametrize("name", ["codec_roundtrip"])
+@pytest.mark.parametrize("name", ["codec_roundtrip", "packet_source_roundtrip"])
 def test_thousandths_of_floats(spark, tmp_path, name):
     _vectors(tmp_path, (np.arange(64 * 100).reshape(100, 64) - 3200) / 1000)
     assert _differences(spark, name, tmp_path) == ([], [], 100)

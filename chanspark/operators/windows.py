@@ -31,14 +31,18 @@ def hop(df: DataFrame, keys: list[str], order: list[str], size: int, step: int)
 
 
 def describe(windowed: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, window_index, the eleven descriptors) of hop()'s rows. Differences start anew in each window."""
+    """(keys, window_index, the eleven descriptors) of hop()'s rows. Differences start anew in each window.
+
+    A window of one row has no differences and no slope: they are 0. What a window of more rows lacks values for is null.
+    """
     own = Window.partitionBy(*keys, "window_index").orderBy("pos")
     x, d = F.col(value).cast("double"), F.col("_d")
+    known = lambda c: F.coalesce(c, F.when(F.count("*") == 1, 0.0))
     step = windowed.withColumn("_d", x - F.lag(x).over(own))
     return step.groupBy(*keys, "window_index").agg(
         F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("peak_to_peak"),
-        F.sum(x * x).alias("energy"), F.coalesce(F.avg(F.abs(d)), F.lit(0.0)).alias("mean_abs_diff"), F.coalesce(F.max(F.abs(d)), F.lit(0.0)).alias("max_abs_diff"),
-        F.coalesce(F.sum(d * d), F.lit(0.0)).alias("diff_energy"), F.coalesce(F.stddev_pop(d), F.lit(0.0)).alias("std_diff"), F.coalesce(F.regr_slope(x, F.col("pos").cast("double")), F.lit(0.0)).alias("slope"),
+        F.sum(x * x).alias("energy"), known(F.avg(F.abs(d))).alias("mean_abs_diff"), known(F.max(F.abs(d))).alias("max_abs_diff"),
+        known(F.sum(d * d)).alias("diff_energy"), known(F.stddev_pop(d)).alias("std_diff"), known(F.regr_slope(x, F.col("pos").cast("double"))).alias("slope"),
     )
 
 

@@ -28,6 +28,15 @@ def _differences(spark, name, folder):
     return [r for r in got if r not in want], [r for r in want if r not in got], len(want)
 
 
+def _events(folder, rows):
+    """events of (user, ts in seconds, value)."""
+    users, seconds, values = zip(*rows, strict=True)
+    stamps = pa.array([None if s is None else s * 1_000_000 for s in seconds], pa.timestamp("us"))
+    table = pa.table({"event_id": pa.array(range(len(rows)), pa.int64()), "ts": stamps, "user_id": pa.array(users, pa.int64()), "event_type": ["view"] * len(rows), "value": pa.array(values, pa.float64()), "props": [""] * len(rows)})
+    pq.write_table(table, f"{folder}/events.parquet")
+    return folder
+
+
 def _vectors(folder, values):
     """embeddings of rows of 64 floats."""
     rows = np.asarray(values, np.float32)
@@ -40,3 +49,14 @@ def _vectors(folder, values):
 def test_thousandths_of_floats(spark, tmp_path, name):
     _vectors(tmp_path, (np.arange(64 * 100).reshape(100, 64) - 3200) / 1000)
     assert _differences(spark, name, tmp_path) == ([], [], 100)
+
+
+def test_feature_vectors_of_odd_streams(spark, tmp_path):
+    falling = [(1, k, 1 - k * 1e-7) for k in range(20)]  # a slope that rounds to minus zero
+    halves = [(2, k, round(0.00125 * (k % 16 == 0) + k % 7 / 1000, 5)) for k in range(60)]
+    lacking = [(3, k, None if k < 25 or k % 3 == 1 else k / 7) for k in range(60)]
+    nameless = [(None, k, 1.0) for k in range(30)]
+    timeless = [(4, None if k % 5 == 2 else k, k * k / 3) for k in range(40)]
+    _events(tmp_path, falling + halves + lacking + nameless + timeless)
+    got, want, n = _differences(spark, "feature_vectors", tmp_path)
+    assert (got, want, n) == ([], [], 1 + 9 + 9 + 5)

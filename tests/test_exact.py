@@ -60,3 +60,11 @@ def test_feature_vectors_of_odd_streams(spark, tmp_path):
     _events(tmp_path, falling + halves + lacking + nameless + timeless)
     got, want, n = _differences(spark, "feature_vectors", tmp_path)
     assert (got, want, n) == ([], [], 1 + 9 + 9 + 5)
+
+
+def test_scaled_vectors_near_their_mean(spark, tmp_path):
+    values = np.random.default_rng(0).integers(-4, 5, (40, 64)) / 8
+    values[:, 5] = [1, -1] * 19 + [-1e-7, 1e-7]  # two that round to zeros of either sign
+    _vectors(tmp_path, values)
+    got, want, n = _differences(spark, "preprocessing_pipeline", tmp_path)
+    assert (got, want, n) == ([], [], 40)

@@ -75,7 +75,7 @@ def test_scaled_vectors_near_their_mean(spark, tmp_path):
 def test_neighbours_of_many_queries(spark, monkeypatch, broadcast, rows, pairs, kind):
     """In rounds and slices, with names of any length, equal vectors, and rows without a label: as measured one by one."""
     monkeypatch.setattr(models, "BROADCAST_QUERIES", broadcast)
-    monkeypatch.setattr(models, "SLICE", rows)  # tasks have the module's own
+    monkeypatch.setattr(models, "SLICE", rows)
     monkeypatch.setattr(models, "TASK_PAIRS", pairs)
     rng = np.random.default_rng(1)
     x = (rng.integers(-2, 3, (90, 4)) * 0.1).astype(np.float32 if kind == "float" else float)
